@@ -6,10 +6,28 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plansift.llm import bpe, simhash, tokens
+from plansift.llm import bpe, html_extract, knn, quality, sampling, simhash, tokens, toxicity
 from plansift.llm.common import shared_path, table
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def _held_out(key: str, folds: int, at: int):
+    return F.coalesce(sampling.fold(key, folds) == at, F.lit(False)).alias("held_out")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scores = toxicity.score(docs, toxicity.learned(docs, table(spark, sf_dir, "labels")))
+    return scores.select("doc_id", _held_out("doc_id", 4, 2), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -26,5 +44,25 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.offsets(tokens.read_tokens(spark, out))
 
 
-QUERIES = {f.__name__: f for f in (op6_byte_bpe, op7_simhash, op8_token_files)}
-ORACLE_SQL: dict[str, str] = {}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scores = quality.score(docs, quality.learned(docs, table(spark, sf_dir, "labels")))
+    return scores.select("doc_id", _held_out("doc_id", 3, 1), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op1_html_text, op4_toxicity, op5_top_k, op6_byte_bpe, op7_simhash, op8_token_files, op10_quality)}
+ORACLE_SQL = {
+    "op5_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id
+            WHERE q.vec_id % 50 = 0
+        ), r AS (
+            SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+        )
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+}
