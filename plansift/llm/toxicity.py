@@ -47,27 +47,27 @@ class Model:
         words = set(text.split())
         for w in words.difference(known):
             known[w] = self.chosen(w)
-        found = {k for ks in filter(None, [known[w] for w in words]) for k in ks}
-        g = self.bias + sum(self.weights[k] for k in sorted(found)) / math.sqrt(max(1, len(words)))
+        found = sorted(k for ks in filter(None, [known[w] for w in words]) for k in ks)
+        g = self.bias + sum(self.weights[k] for k in found) / math.sqrt(max(1, len(words)))
         return 1 / (1 + math.exp(-min(30.0, max(-30.0, g))))
 
 
 def _rows(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
-    """The distinct features of each text, and one over the root of its distinct words."""
+    """The features of each text's distinct words, and one over the root of their number."""
     known: dict[str, tuple[int, ...]] = {}
     ids, scale = [], np.ones(len(texts))
     for n, text in enumerate(texts):
         words = set(text.split())
         for w in words.difference(known):
             known[w] = features(w)
-        ids.append(np.array(sorted({k for w in words for k in known[w]}), np.int64))
+        ids.append(np.array(sorted(k for w in words for k in known[w]), np.int64))
         scale[n] = 1 / math.sqrt(max(1, len(words)))
     return ids, scale
 
 
 def chosen(p: list[np.ndarray], u: list[np.ndarray], most: int = CHOSEN, least: float = 2.5) -> np.ndarray:
     """The features whose document frequencies differ most between confirmed and unlabelled texts, by the two-sample z statistic."""
-    share = lambda rows: (np.bincount(np.concatenate(rows), minlength=1 << BITS) + 0.5) / (len(rows) + 1)
+    share = lambda rows: (np.bincount(np.concatenate([np.unique(r) for r in rows]), minlength=1 << BITS) + 0.5) / (len(rows) + 1)
     a, b = share(p), share(u)
     z = np.abs(a - b) / np.sqrt(a * (1 - a) / len(p) + b * (1 - b) / len(u))
     first = np.argsort(-z, kind="stable")[:most]
