@@ -12,16 +12,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 NONE = np.int64(1) << np.int64(62)
 #: Cells of one array of trees; a larger piece has an array to itself.
 CELLS = 1 << 20
-#: Words that a Python worker remembers.
+#: Half the words that a Python worker remembers: the older half goes when the newer one is full.
 REMEMBERED = 400_000
+_WHITE = r"[\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Two white-space characters together, or one at an end: such texts aren't cut at their spaces.
-LOOSE = regex.compile(r"\s\s|^\s|\s\Z|[\x1c-\x1f]\s|\s[\x1c-\x1f]|^[\x1c-\x1f]|[\x1c-\x1f]\Z")
+LOOSE = rf"\A\z|{_WHITE}{{2}}|\A{_WHITE}|{_WHITE}\z"
 
 
 class Ranks:
@@ -30,7 +33,9 @@ class Ranks:
     def __init__(self, path: str, pattern: str):
         with open(path, "rb") as f:
             self.ids = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.tokens = {i: token for token, i in self.ids.items()}
+        tokens = {i: token for token, i in self.ids.items()}
+        tokens = [tokens.get(i, b"") for i in range(max(tokens) + 1)]
+        self.token_bytes, self.token_sizes = np.frombuffer(b"".join(tokens), np.uint8), np.array([len(t) for t in tokens])
         self.bytes = np.array([self.ids[bytes([b])] for b in range(256)], dtype=np.int64)
         self.pattern = regex.compile(pattern)
         pairs = {}
@@ -114,8 +119,9 @@ class Ranks:
             tree[rows, at] = np.minimum(tree[rows, 2 * at], tree[rows, 2 * at + 1])
             size >>= 1
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of ids one after another, and how many each has."""
+        return gather(self.token_bytes, self.token_sizes, ids)
 
 
 class Words:
@@ -126,28 +132,48 @@ class Words:
     """
 
     def __init__(self, encode):
-        self.encode, self.known = encode, {}
-
-    def texts(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text. encode: from a list of strings to the ids of each, as bytes."""
+        """encode: from a list of strings to the ids of each, as little-endian unsigned 32-bit integers."""
+        self.encode, self.known, self.older = encode, {}, {}
+
+    def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts (no nulls), and the places where each text's begin, with the end."""
+        loose = pc.match_substring_regex(texts, LOOSE).to_numpy(zero_copy_only=False)
+        if not loose.any():
+            return self._cut(texts)
+        ids, ends = self._cut(texts.filter(pa.array(~loose)))
+        own = self.encode(texts.filter(pa.array(loose)).to_pylist())
+        lengths = np.zeros(len(texts), np.int64)
+        lengths[~loose], lengths[loose] = np.diff(ends), [len(x) // 4 for x in own]
+        starts = np.concatenate([[0], np.cumsum(lengths)])
+        out, is_loose = np.zeros(starts[-1], "<u4"), np.repeat(loose, lengths)
+        out[~is_loose], out[is_loose] = ids, np.frombuffer(b"".join(own), "<u4")
+        return out, starts
+
+    def _cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        cut, loose, missing = [], [], set()
-        for text in texts:
-            if not text or LOOSE.search(text):
-                cut.append(None)
-                loose.append(text)
-                continue
-            first, *words = text.replace("\n", " \n").split(" ")
-            words.insert(0, "\r\n" + first)  # no key of another kind: a \r before \n would have made the text loose
-            cut.append(words)
-            missing.update(set(words).difference(self.known))
-        missing = list(missing)
-        strings = [w[2:] if w[:2] == "\r\n" else w if w[0] == "\n" else " " + w for w in missing]
-        self.known.update(zip(missing, self.encode(strings), strict=True))
-        rest = iter(self.encode(loose))
-        known = self.known
-        return [next(rest) if words is None else b"".join([known[w] for w in words]) for words in cut]
+            self.known, self.older = {}, self.known
+        # the \r\n marks the first word: no key of another kind begins so, as white space twice makes a text loose
+        marked = pc.binary_join_element_wise("\r\n", pc.replace_substring(texts, "\n", " \n"), "")
+        words = pc.split_pattern(marked, " ")
+        each = words.flatten().dictionary_encode()
+        keys = each.dictionary.to_pylist()
+        known, older = self.known, self.older
+        missing = [w for w in keys if w not in known]
+        if older:
+            known.update((w, older[w]) for w in missing if w in older)
+            missing = [w for w in missing if w not in older]
+        known.update(zip(missing, self.encode([w[2:] if w[:2] == "\r\n" else w if w[:1] == "\n" else " " + w for w in missing]), strict=True))
+        found = [known[w] for w in keys]
+        at = each.indices.to_numpy()
+        ids, taken = gather(np.frombuffer(b"".join(found), "<u4"), np.fromiter((len(x) // 4 for x in found), np.int64, len(found)), at)
+        return ids, np.concatenate([[0], np.cumsum(taken)])[words.offsets.to_numpy()]
+
+
+def gather(values: np.ndarray, lengths: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of values (of the given lengths, one after another) that `at` names, one after another, and their lengths."""
+    taken = lengths[at]
+    starts = (np.cumsum(lengths) - lengths)[at] - (np.cumsum(taken) - taken)
+    return values[np.repeat(starts, taken) + np.arange(int(taken.sum()))], taken
 
 
 _open: dict = {}
@@ -173,6 +199,23 @@ def _by_ranks(path: str, pattern: str) -> Words:
     return _open["words", path, pattern]
 
 
+def portions(batches: Iterator[pa.RecordBatch], rows: int = 4096, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that column 1, a string, has at most `size` bytes in a portion unless it is one row."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            till = int(np.searchsorted(ends, size + (ends[at - 1] if at else 0), "right"))
+            till = min(max(till, at + 1), at + rows, batch.num_rows)
+            yield batch.slice(at, till - at)
+            at = till
+
+
+def binaries(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A binary array: the memory of values cut at the byte offsets `ends`."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
 def encode_decode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Encodes every whole text and decodes the ids again: columns key, ids, decoded.
 
@@ -183,10 +226,10 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, rank = _by_ranks(path, pattern), ranks(path, pattern)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                ids = words.texts([t or "" for t in part.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array([rank.decode(x) for x in ids], pa.binary())], [key, "ids", "decoded"])
+        for part in portions(batches):
+            ids, starts = words.texts(part.column(1))
+            data, sizes = rank.decode(ids)
+            ends = np.concatenate([[0], np.cumsum(sizes)])[starts]
+            yield pa.RecordBatch.from_arrays([part.column(0), binaries(ids, 4 * starts), binaries(data, ends)], [key, "ids", "decoded"])
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("_text")).mapInArrow(run, schema)

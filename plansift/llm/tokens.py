@@ -8,14 +8,17 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plansift.llm.bpe import Words
+from plansift.llm.bpe import Words, portions
 from plansift.llm.common import partitions
 
 #: Options of the ORC writer.
@@ -24,21 +27,35 @@ ORC = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "or
 _open: dict = {}
 
 
-def _words(path: str) -> Words:
-    if path not in _open:
+def _words(path: str, pattern: str) -> Words:
+    """Words by the BPE model of a byte-level tokenizer of the tokenizers library; texts with its special tokens go through the whole tokenizer."""
+    if (path, pattern) not in _open:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
+        model, cut = tokenizer.model, regex.compile(pattern)
+        special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        # the letters by which byte-level vocabularies write bytes: printable ones themselves, the rest from 256 on
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in printable]
+        letters = {b: b for b in printable} | {b: 256 + k for k, b in enumerate(others)}
 
         def encode(strings: list[str]) -> list[bytes]:
-            return [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+            out = []
+            for s in strings:
+                if any(t in s for t in special):
+                    ids = tokenizer.encode(s, add_special_tokens=False).ids
+                else:
+                    ids = [t.id for piece in cut.findall(s) for t in model.tokenize(piece.encode().decode("latin-1").translate(letters))]
+                out.append(array("I", ids).tobytes())
+            return out
 
-        _open[path] = Words(encode)
-    return _open[path]
+        _open[path, pattern] = Words(encode)
+    return _open[path, pattern]
 
 
-def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text") -> None:
+def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int, pattern: str = public_tokenizers.PATTERN, key: str = "doc_id", text: str = "text") -> None:
     """Writes the ids of every whole text, then end_id, to ORC files at out, ranges of keys in ascending order.
 
     Columns: doc_id, part (the file's number in the order of keys), file_start (ids of the documents before it in its file),
@@ -50,16 +67,14 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int, key: st
     rows = rows.repartitionByRange(partitions(docs.sparkSession), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end, before = _words(tokenizer), int(end_id).to_bytes(4, "little"), 0
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                ids = [x + end for x in words.texts(part.column(1).to_pylist())]
-                lengths = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
-                ends = np.concatenate([[0], np.cumsum(lengths)])
-                values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(before + ends[:-1]), pa.array(lengths), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)], ["doc_id", "file_start", "n_tokens", "ids"])
-                before += int(ends[-1])
+        words, before = _words(tokenizer, pattern), 0
+        for part in portions(batches):
+            ids, starts = words.texts(part.column(1))
+            ends = starts + np.arange(len(starts))
+            whole = np.insert(ids, starts[1:], end_id).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(whole))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(before + ends[:-1]), pa.array(np.diff(ends)), lists], ["doc_id", "file_start", "n_tokens", "ids"])
+            before += int(ends[-1])
 
     coded = rows.mapInArrow(run, f"doc_id {kind}, file_start long, n_tokens long, ids array<int>")
     coded.select("doc_id", F.spark_partition_id().alias("part"), "file_start", "n_tokens", "ids").write.options(**ORC).orc(out)
