@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plansift.llm import bpe, html_extract, knn, pii, quality, sampling, secret_scan, simhash, spans, tokens, toxicity
+from plansift.llm import bpe, decontaminate, html_extract, knn, pii, quality, sampling, secret_scan, simhash, spans, tokens, toxicity
 from plansift.llm.common import shared_path, table
 
 
@@ -14,6 +14,11 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "start", "hamming", "similarity")
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(table(spark, sf_dir, "documents")).select("doc_id", "findings", secret_scan.secrets().alias("secrets"))
     return found.select("doc_id", F.size("findings").cast("long").alias("n_candidates"), F.size("secrets").cast("long").alias("n_secrets"), spans.written(F.col("secrets"), lambda s: F.lit("secret")).alias("spans"))
@@ -63,7 +68,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", _held_out("doc_id", 3, 1), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op3_secrets, op4_toxicity, op5_top_k, op6_byte_bpe, op7_simhash, op8_token_files, op9_pii, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_decontamination, op3_secrets, op4_toxicity, op5_top_k, op6_byte_bpe, op7_simhash, op8_token_files, op9_pii, op10_quality)}
 ORACLE_SQL = {
     "op5_top_k": """
         WITH v AS (
