@@ -1,17 +1,60 @@
-"""A corpus pipeline of five stages; each takes the documents that the one before kept."""
+"""A corpus pipeline of five stages; each takes the documents that the one before kept, whole.
+
+Toxic documents go, one document of each group of near-duplicates stays, documents that hold benchmark items go, secrets are
+replaced by a mark, and what is left is encoded. A clean document passes every stage as it was.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plansift.llm import bpe, decontaminate, secret_scan, simhash, toxicity
+from plansift.llm.common import stored, table
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = toxicity.learned(docs, table(spark, sf_dir, "labels"))
+    return toxicity.with_score(docs, model, name="_score").where(F.col("_score") < 0.3).select(docs.columns)
+
+
+def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.one_of_each(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean(docs, decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    found = secret_scan.scan(docs, keep=others).withColumn("_secrets", secret_scan.secrets())
+    return found.withColumn("text", secret_scan.redacted("text", F.col("_secrets"))).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    coded = bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", without_toxic),
+    ("simhash_near_dedup", one_of_near_duplicates),
+    ("benchmark_decontamination", without_benchmark),
+    ("secret_scans", without_secrets),
+    ("byte_level_bpe", encoded),
+]
 
 #: The stages learn models and hash with XXH64, which SQL can't express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages over documents; between two of them the documents are written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = stored(docs, name)
     return docs

@@ -43,15 +43,17 @@ def fingerprint(text: str, words: int = 4) -> int:
     return int.from_bytes(np.packbits(2 * total > len(shingles)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4) -> DataFrame:
-    """key and fp (long, the fingerprint's bits) of every row; a null text counts as empty."""
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, keep: tuple[str, ...] = ()) -> DataFrame:
+    """key, the columns of keep, and fp (long, the fingerprint's bits) of every row; a null text counts as empty."""
+    rows = docs.select(key, *keep, F.col(text).alias("_text"))
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(t or "", words) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64))], [key, "fp"])
+            found = [fingerprint(t.as_py() or "", words) for t in batch.columns[-1]]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.array(found, np.uint64).view(np.int64))], [key, *keep, "fp"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, fp long")
+    return rows.mapInArrow(run, f"{shape}, fp long")
 
 
 def pivots(n: int = PIVOTS) -> np.ndarray:
@@ -178,6 +180,16 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
     return sorted_.mapInPandas(_verified(radius), "a long, b long")
 
 
+def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, radius: int = 4, keep: tuple[str, ...] = ()) -> DataFrame:
+    """key, the columns of keep, fp, label (alike in a component, never null) and component_id (its smallest key) of every row."""
+    found = stored(fingerprints(docs, key, text, words, keep), "fingerprints")
+    nodes = found.groupBy("fp").agg(F.min(key).alias("least"))
+    nodes = stored(labelled(nodes, "fp", links(nodes, radius)), "nodes")
+    least = nodes.groupBy("label").agg(F.min("least").alias("component_id"))
+    names = nodes.join(least, "label").select("fp", "label", "component_id")
+    return found.join(names, "fp").select(key, *keep, "fp", "label", "component_id")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
     """key, fp and component_id of every row: the smallest key reachable by links between fingerprints at most radius bits apart.
 
@@ -185,9 +197,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     any other; a null text counts as empty. Null keys are kept but never name a component unless all keys of it are null. Repeated
     rows each come back. An empty table gives no rows.
     """
-    found = stored(fingerprints(docs, key, text, words), "fingerprints")
-    nodes = found.groupBy("fp").agg(F.min(key).alias("least"))
-    nodes = stored(labelled(nodes, "fp", links(nodes, radius)), "nodes")
-    least = nodes.groupBy("label").agg(F.min("least").alias("component_id"))
-    names = nodes.join(least, "label").select("fp", "component_id")
-    return found.join(names, "fp").select(key, "fp", "component_id")
+    return grouped(docs, key, text, words, radius).select(key, "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
+    """One row of each component, all its columns: that of the smallest key; among rows with that key, the least by a hash of the text."""
+    own = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    # two halves, so that a null key is told apart from every other
+    keys = docs.select(key, text, F.col(key).isNull().alias("_no_key"), own.alias("_hash"))
+    found = stored(grouped(keys, key, text, words, radius, ("_no_key", "_hash")), "groups")
+    kept = found.groupBy("label").agg(F.min(F.struct("_no_key", key, "_hash")).alias("k")).select(F.coalesce(f"k.{key}", F.lit(0)).alias("_kept"), "k._no_key", "k._hash").distinct()
+    rows = docs.withColumns({"_kept": F.coalesce(key, F.lit(0)), "_no_key": F.col(key).isNull(), "_hash": own})
+    rows = rows.join(kept, ["_kept", "_no_key", "_hash"], "left_semi")
+    if not found.groupBy(key, "_hash").count().where("count > 1").isEmpty():
+        rows = rows.dropDuplicates(["_kept", "_no_key", "_hash"])
+    return rows.select(docs.columns)

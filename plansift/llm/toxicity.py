@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from plansift.llm.sampling import first_by_hash, fold, portions, texts_of
 
@@ -128,13 +129,21 @@ def learned(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int =
     return fit([r[-1] for r in rows if r[1]], [r[-1] for r in rows if not r[1]], prior)
 
 
-def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key and score (0 to 1) of every row's whole text; a null text counts as empty, which scores by the bias alone."""
+def with_score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
+    """docs plus the score (0 to 1) of every row's whole text; a null text counts as empty, which scores by the bias alone."""
+    at = docs.columns.index(text)
+    shape = StructType([*docs.schema.fields, StructField(name, DoubleType())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[int, ...]] = {}
-        for part, texts in portions(batches, 1):
+        for part, texts in portions(batches, at):
             if len(known) > REMEMBERED:
                 known.clear()
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([model.score(t, known) for t in texts], pa.float64())], [key, "score"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([model.score(t, known) for t in texts], pa.float64())], shape.fieldNames())
+
+    return docs.mapInArrow(run, shape)
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, score double")
+
+def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key and score of every row."""
+    return with_score(docs.select(key, F.col(text).alias("_text")), model, "_text").select(key, "score")
