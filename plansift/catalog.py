@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plansift.functions import rules, text
-from plansift.operators import benchmark, extract, geometry, merge, rows
+from plansift.operators import benchmark, extract, geometry, merge, profile, rows
 from plansift.plans import adapters, project
 from plansift.sources import cache, engines, sinks, tiles
 
@@ -99,7 +99,7 @@ def line_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapters.table(spark, sf_dir, "documents").select("doc_id", F.size(F.filter(parts, lambda s: F.trim(s) != "")).cast("long").alias("n_lines"), F.aggregate(parts, F.lit(0).cast("long"), lambda a, s: a + F.length(s)).alias("n_chars"))
 
 
-@query("SELECT p_partkey, trim(regexp_replace(regexp_replace(p_name || p_size || 'mm PYC' || p_size, '([a-zA-Z])([0-9])', '\\1 \\2', 'g'), '([0-9])([a-zA-Z])', '\\1 \\2', 'g')) AS t FROM part".replace("PYC' || p_size", "PVC' || p_size"))
+@query("SELECT p_partkey, trim(regexp_replace(regexp_replace(p_name || p_size || 'mm PVC' || p_size, '([a-zA-Z])([0-9])', '\\1 \\2', 'g'), '([0-9])([a-zA-Z])', '\\1 \\2', 'g')) AS t FROM part")
 def text_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapters.table(spark, sf_dir, "part").select("p_partkey", text.extracted(F.concat("p_name", F.col("p_size").cast("string"), F.lit("mm PYC"), F.col("p_size").cast("string"))).alias("t"))
 
@@ -445,3 +445,40 @@ def json_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT p_partkey, CASE WHEN p_size > 26 THEN chr(CAST(64 + (p_size - 1) // 26 AS INTEGER)) ELSE '' END || chr(CAST(65 + (p_size - 1) % 26 AS INTEGER)) || p_partkey AS address FROM part")
 def cell_address(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapters.table(spark, sf_dir, "part").select("p_partkey", text.cell_address(F.col("p_size"), F.col("p_partkey")).alias("address"))
+
+
+NODES = "WITH k AS (SELECT unnest([1, 2, 3, 4]) AS k), n AS (SELECT CAST(c_custkey AS INTEGER) AS page_no, k, 60 + c_custkey % 5 + (5 - k) * 0.25::DOUBLE AS g, 2 + c_custkey % 3 * 0.25::DOUBLE AS h, c_custkey FROM customer, k)"
+
+
+@query(f"{NODES} SELECT page_no, 'D' || k AS identifier, g AS ground_m, g - h AS invert_m, h AS height_m, CASE WHEN c_custkey % 2 = 0 THEN 1200 END AS diameter_mm, 3 AS evidence FROM n")
+def profile_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = adapters.drawn_words(spark, sf_dir)
+    anchors = geometry.exact_labels(words, profile=True)
+    texts = words.select(*geometry.PAGE, F.lit("PROFIL").alias("text")).distinct()
+    return profile.profile_nodes(anchors, words, texts).select("page_no", "identifier", "ground_m", "invert_m", "height_m", "diameter_mm", "evidence")
+
+
+@query(f"{NODES} SELECT page_no, 'D' || k AS identifier FROM n UNION ALL SELECT DISTINCT page_no, 'KD' || (c_custkey % 90 + 1) FROM n")
+def spatial_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = adapters.drawn_words(spark, sf_dir)
+    return geometry.exact_labels(words, profile=False).unionByName(geometry.split_labels(words, plan=False)).select("page_no", "identifier")
+
+
+@query("SELECT CAST(c_custkey AS INTEGER) AS page_no, 'PVC' AS material, 200 AS diameter_mm, 1 AS quantity, 'WP' || (c_custkey % 50) AS inlet, 126.47::DOUBLE AS stitched FROM customer")
+def spatial_materials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = adapters.drawn_words(spark, sf_dir)
+    pipes = geometry.local_materials(words).select("page_no", "material", "diameter_mm", F.col("quantity").cast("int").alias("quantity"))
+    inlets = geometry.word_inlets(words).select("page_no", F.col("identifier").alias("inlet"))
+    whole = geometry.stitched_levels(words).where("x = 4800").select("page_no", F.col("value").alias("stitched"))
+    return pipes.join(inlets, "page_no").join(whole, "page_no")
+
+
+@query(f"{NODES} SELECT page_no, 'D' || k AS identifier, 4 + 3 * (c_custkey % 2 = 0)::INT AS score FROM n")
+def evidence_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = adapters.drawn_words(spark, sf_dir)
+    return geometry.evidence(words, geometry.exact_labels(words, profile=True)).select("page_no", "identifier", "score")
+
+
+@query("SELECT CAST(c_custkey AS INTEGER) AS page_no, CAST(23 AS BIGINT) AS kept FROM customer")
+def usable_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geometry.usable(adapters.drawn_words(spark, sf_dir)).groupBy("page_no").agg(F.count("*").alias("kept"))

@@ -61,3 +61,16 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         "cast(NULL AS string) AS ordered_text",
         "CASE WHEN o_orderkey % 2 = 0 THEN 'vector' ELSE 'OCR/engine' END AS engine",
     )
+
+
+def drawn_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """customer as profile drawings: four nodes in columns with ground, invert and (every second page) diameter, and some loose labels."""
+    c = table(spark, sf_dir, "customer").select("c_custkey")
+    box = lambda text, x, y, w="28D", h="10D": f"named_struct('text', {text}, 'x', {x}, 'y', {y}, 'w', {w}, 'h', {h})"
+    ground = "(60 + c_custkey % 5 + (5 - k) * 0.25D)"
+    level = lambda v: f"replace(format_string('%.2f', {v}), '.', ',')"
+    columns = [box("concat('D', k)", "95D + 100 * k", "500D", "10D"), box(level(ground), "90D + 100 * k", "400D"), box(level(f"({ground} - 2 - c_custkey % 3 * 0.25D)"), "90D + 100 * k", "350D"), box("CASE WHEN c_custkey % 2 = 0 THEN 'DN1200' ELSE 'x' END", "90D + 100 * k", "250D")]
+    loose = [box("'KD'", "1800D", "500D", "15D", "20D"), box("concat('0', c_custkey % 90 + 1)", "1815D", "498D", "20D", "14D"), box("'PVC'", "2800D", "800D", "20D"), box("'DN200'", "2825D", "800D", "20D"), box("concat('wp', c_custkey % 50)", "3800D", "800D", "20D"), box("'1'", "4800D", "900D", "4D", "8D"), box("'26,47'", "4806D", "900D", "20D", "8D")]
+    rows = c.selectExpr("c_custkey", f"concat(flatten(transform(sequence(1, 4), k -> array({', '.join(columns)}))), array({', '.join(loose)})) AS b")
+    rows = rows.select("c_custkey", F.posexplode("b").alias("idx", "b"))
+    return rows.selectExpr("cast(c_custkey % 10 AS string) AS doc_id", "cast(c_custkey AS int) AS page_no", "idx", "b.text", "b.x", "b.y", "b.w", "b.h")
