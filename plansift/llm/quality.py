@@ -111,7 +111,8 @@ def fit(texts: list[str], labels: list[int], epochs: int = 40, rate: float = 0.0
     if not texts:
         parts[7][:] = 0
         return Model(np.zeros(FEATURES), np.ones(FEATURES), parts)
-    x, counts = passages(texts)
+    parts_of = [passages(texts[at : at + 200]) for at in range(0, len(texts), 200)]
+    x, counts = np.concatenate([p for p, _ in parts_of]), np.concatenate([c for _, c in parts_of])
     model = Model(x.mean(axis=0), x.std(axis=0) + 0.02, parts)
     y, at = np.array(labels, float), np.cumsum(counts) - counts
     share = min(0.99, max(0.01, y.mean()))
