@@ -20,7 +20,7 @@ def fold(key: str, n: int) -> Column:
 def texts_of(docs: DataFrame, keys: DataFrame, key: str = "doc_id", text: str = "text", at_most: int = FIT_CHARS) -> list[tuple]:
     """The rows of keys with their texts: (..., text). keys must be a bounded sample; it is broadcast."""
     rows = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("_text")).where(F.length("_text") <= at_most)
-    return sorted((tuple(r) for r in rows.join(F.broadcast(keys), key).select(*keys.columns, "_text").collect()), key=repr)
+    return sorted((tuple(r) for r in rows.join(F.broadcast(keys), key).select(*keys.columns, "_text").collect()), key=lambda r: (str(r[:-1]), r[-1]))
 
 
 def first_by_hash(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:

@@ -59,9 +59,11 @@ def _rows(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
     ids, scale = [], np.ones(len(texts))
     for n, text in enumerate(texts):
         words = set(text.split())
+        if len(known) > REMEMBERED // 2:
+            known.clear()
         for w in words.difference(known):
             known[w] = features(w)
-        ids.append(np.array(sorted(k for w in words for k in known[w]), np.int64))
+        ids.append(np.array(sorted(k for w in words for k in known[w]), np.int32))
         scale[n] = 1 / math.sqrt(max(1, len(words)))
     return ids, scale
 
