@@ -244,7 +244,7 @@ def inventory_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.inventory_gate(rows_).groupBy("project_id", text.key_of(F.col("identifier")).alias("key")).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {RECORDS} SELECT project_id, key, sum(page) AS total, max(page) AS most FROM records GROUP BY ALL")
+@query(f"WITH {RECORDS} SELECT project_id, key, CAST(sum(page) AS BIGINT) AS total, CAST(max(page) AS BIGINT) AS most FROM records GROUP BY ALL")
 def transition_sum_vs_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows_ = adapters.records(spark, sf_dir).select("project_id", text.key_of(F.col("identifier")).alias("key"), F.lit("pehd").alias("material"), F.lit(200).alias("diameter_mm"), F.col("page").cast("long").alias("quantity"))
     both = [merge.merged_transitions(rows_, ["project_id", "key"], how).select("project_id", "key", F.col("quantity").alias(n)) for how, n in (("sum", "total"), ("max", "most"))]
