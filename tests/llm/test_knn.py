@@ -40,10 +40,3 @@ def test_tree_prunes_but_finds_all():
         own = int(np.flatnonzero((vectors == q).all(axis=1))[0])
         want = sorted(((-s, i) for i, s in enumerate(scores.tolist()) if i != own))[:3]
         assert found == [(-s, i) for s, i in want]
-
-
-def test_query_against_sql(spark, sf_dir):
-    from plansift.llm.queries import ORACLE_SQL, op5_top_k
-    from tests.oracle import compare
-
-    compare(op5_top_k(spark, sf_dir), ORACLE_SQL["op5_top_k"], sf_dir)
