@@ -54,8 +54,8 @@ def _small(rows: DataFrame, n: int) -> DataFrame:
 def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
     """key, _text_hash, item, start, hamming, similarity: the documents that hold benchmark items, each with its best window.
 
-    A window has as many words as the item (or the whole document, if shorter) and starts where one of the item's anchors lies in
-    the document as it lies in the item. Anchors are as many of the item's shingles as can't all be missing at the least similarity.
+    A window has as many words as the item (or the whole document, if shorter) and starts where any shingle of the item lies in
+    the document as it lies in the item; fewer would find some window of a leak, but where edits shift a part of it, not the best.
     Windows whose SimHash is at most RADIUS bits from an item of that size meet it in one of BLOCKS blocks (a block at most
     RADIUS // BLOCKS bits off), and those are verified: shared over all shingles, each counted as often as it occurs, at least
     SIMILARITY. Nulls count as empty and never leak; items without words match nothing; shorter items than a shingle are one. Rows
@@ -66,10 +66,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     if not size["items"]:
         known_ks, anchors_n = [WORDS], 0
     else:
-        known_ks, anchors_n = sorted(size["ks"]), int(size["shingles"] * (1 - SIMILARITY)) + size["items"]
-    least = F.floor(F.size("hashes") * (1 - SIMILARITY) + 1e-9).cast("int") + 1
-    placed = F.array_sort(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("at"))))
-    anchors = known.select("n", "k", F.size("hashes").alias("m"), F.explode(F.slice(placed, F.lit(1), least)).alias("a")).select("k", "n", "m", F.col("a.h").alias("h"), F.col("a.at").alias("at")).distinct()
+        known_ks, anchors_n = sorted(size["ks"]), size["shingles"]
+    anchors = known.select("n", "k", F.size("hashes").alias("m"), F.posexplode("hashes").alias("at", "h")).distinct()
     found = []
     for k in known_ks:
         own = anchors.where(F.col("k") == k)

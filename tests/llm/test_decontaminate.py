@@ -89,3 +89,17 @@ def test_query(spark):
             if (s := best(t, dict(items)[i])) >= D.SIMILARITY:
                 want[d, i] = s
     assert found == want and want
+
+
+def test_deletions_and_insertions_that_make_up_for_each_other(spark):
+    rng = random.Random(5)
+    docs, items = [], []
+    for k in range(120):
+        w = [f"v{rng.randrange(10**6)}" for _ in range(100)]
+        items.append((k, " ".join(w)))
+        a, b = ((5, 94), (8, 92), (10, 95))[k % 3]
+        docs.append((k, " ".join([f"a{i}" for i in range(9)] + w[:a] + w[a + 2 : b + 2] + ["new1", "new2"] + w[b + 2 :] + [f"z{i}" for i in range(9)])))
+    assert all(best(d, t) >= D.SIMILARITY for (_, d), (_, t) in zip(docs, items, strict=True))
+    found = D.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in found.collect()}
+    assert got == {(k, k): best(docs[k][1], items[k][1]) for k in range(len(docs))}
