@@ -14,10 +14,22 @@ from plansift.llm.secret_findings import WORDS as COMMON
 from plansift.llm.secret_findings import findings
 from plansift.llm.spans import after, before, with_matches
 
-#: A run of key characters, twelve at least, with a digit among its first 41.
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,40}[0-9])[A-Za-z0-9+/_-]{12,}+={0,2}"
+#: A key's name and what assigns its value, up to an opening quote.
+ASSIGNED = r"(?<=[=:>\"' \t])(?<=[=:>][ \t]{0,8}[\"']?)(?<=(?i:passw(?:or)?d|passphrase|passcode|pwd|secret|token|credential|(?:api|access|private|secret|auth)[_ -]?key)s?(?:[_-][A-Za-z0-9]{1,12})?[\"']?[ \t]{0,8}[=:]{1,2}>?[ \t]{0,8}[\"']?)"
+#: Marks that are part of an unquoted value only where it goes on behind them.
+_inner = r"(?:[,;&](?!\w{1,30}[ \t]{0,3}[=:])|[.)\]}>])"
+#: Any value that is not blank or marks alone: up to its closing quote (200 characters, blanks too), or else up to a blank or a double quote.
+VALUE = (
+    r"(?:(?<=\")(?=[ \t]*[^\s\"])[^\"\n]{1,200}+(?=\")|(?<=')(?=[ \t]*[^\s'])[^'\n]{1,200}+(?=')"
+    rf"|(?:{_inner}{{1,8}}+(?![\s\"']|\z))?+[^\s\"',;&.)\]}}>]++(?:(?:{_inner}|'){{1,8}}+(?![\s\"]|\z)[^\s\"',;&.)\]}}>]++){{0,200}}+=*+)"
+)
+PREFIXES = r"gh[pousr]_|github_pat_|sk[-_]|xox[abprs]-|glpat-|AIza"
+#: The value of a key; a run that starts like a known kind of key; or a run of key characters, twelve at least, with a digit among its first 41.
+CANDIDATE = rf"{ASSIGNED}{VALUE}|(?<![A-Za-z0-9+/_-])(?:A[KS]IA[A-Z2-7]{{16}}(?![A-Za-z0-9+/_-])|(?:{PREFIXES})[A-Za-z0-9+/_-]{{8,}}+={{0,2}}|(?=[A-Za-z+/_-]{{0,40}}[0-9])[A-Za-z0-9+/_-]{{12,}}+={{0,2}})"
+#: A text without any of these has no candidate.
+NEEDED = rf"[0-9=:]|A[KS]IA|{PREFIXES}"
 #: Words that placeholders are made of, besides common ones.
-DICTIONARY = "example|sample|dummy|test|your|my|key|token|secret|password|value|here|change|changeme|placeholder|insert|fake|foo|bar|xxx+|real|not|none|null|api|client|deadbeef|abcdef|0123456789|1234567890|123456789|12345678|1234567|123456|" + "|".join(sorted(COMMON, key=len, reverse=True))
+DICTIONARY = "example|sample|dummy|test|your|my|key|token|secret|password|value|here|change|changeme|placeholder|insert|fake|foo|bar|xxx+|real|not|none|null|api|client|required|string|optional|undefined|unknown|true|false|deadbeef|abcdef|0123456789|1234567890|123456789|12345678|1234567|123456|" + "|".join(sorted(COMMON, key=len, reverse=True))
 NEAR = 32
 TREES, DEPTH, KEPT = 15, 6, 0.5
 
@@ -49,6 +61,7 @@ def features(text: str, path: Column, s: Column) -> dict[str, Column]:
         "dictionary": _share(low, DICTIONARY),
         "prefix": flag(found.rlike("^(?:A[KS]IA[A-Z2-7]{16}$|gh[pousr]_|sk[-_]|xox[abprs]-|glpat-|AIza)")),
         "uuid": flag(found.rlike("^[0-9a-f]{8}-[0-9a-f]{4}-")),
+        "reference": flag(found.rlike(r"^[\[<{(*%.]|^\$(?:[{(]|[A-Z_]+$)|(?i:env\b|environ)|\($|\(\)|^(.)\1*$")),
         "path_safe": flag(path.rlike(r"(?i)test|example|sample|demo|fixture|mock|lock|\.sum$")),
         "path_risky": flag(path.rlike(r"(?i)secret|prod|deploy|config|settings|\.env|credential|ops")),
         "near_key": flag(near.rlike("passw|pwd|secret|token|api[_ -]?key|access[_ -]?key|auth|credential|private[_ -]?key")),
@@ -112,7 +125,7 @@ def fit(x: np.ndarray, y: np.ndarray, names: list[str], trees: int = TREES, dept
 def candidates(docs: DataFrame, key: str, text: str, path: str | None, *keep: str) -> DataFrame:
     """_key, _text, keep and c: array<struct<span, features>> of each row."""
     rows = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"), F.coalesce(F.col(path), F.lit("")).alias("_path") if path else F.lit("").alias("_path"), *keep)
-    rows = with_matches(rows, "_text", {"_spans": (CANDIDATE, F.col("_text").rlike("[0-9]"))})
+    rows = with_matches(rows, "_text", {"_spans": (CANDIDATE, F.col("_text").rlike(NEEDED))})
     one = lambda s: F.struct(s.alias("span"), F.struct(*[c.alias(n) for n, c in features("_text", F.col("_path"), s).items()]).alias("features"))
     return rows.select("_key", "_text", *keep, F.transform("_spans", one).alias("c"))
 
