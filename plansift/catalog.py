@@ -167,11 +167,20 @@ def usable_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 400 BETWEEN 20 AND 300 THEN (o_orderkey % 400)::DOUBLE + 0.25 * (o_orderkey % 400 < 300)::INT END AS level, (o_orderkey % 400)::DOUBLE AS number, o_orderkey % 50 = 0 AND o_orderkey BETWEEN 800 AND 4000 AS plausible, o_custkey IN (50, 63, 75, 90, 100, 110, 125) OR o_custkey BETWEEN 150 AND 799 AS pipe FROM orders WHERE o_custkey < 800")
 def decimal_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parsed(adapters.table(spark, sf_dir, "orders").where("o_custkey < 800"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 400 BETWEEN 20 AND 300 THEN (o_orderkey % 400)::DOUBLE + 0.25 * (o_orderkey % 400 < 300)::INT END AS level, (o_orderkey % 400)::DOUBLE AS number, o_orderkey % 50 = 0 AND o_orderkey BETWEEN 800 AND 4000 AS plausible, o_custkey IN (50, 63, 75, 90, 100, 110, 125, 800) OR o_custkey BETWEEN 150 AND 799 AS pipe FROM orders")
+def decimal_parse_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """decimal_parse over every order."""
+    return _parsed(adapters.table(spark, sf_dir, "orders"))
+
+
+def _parsed(orders: DataFrame) -> DataFrame:
     n = F.col("o_orderkey") % 400
     token = F.concat(F.lit("("), n.cast("string"), F.when(n < 300, ",25").otherwise(",00"), F.lit(")"))
-    rows = adapters.table(spark, sf_dir, "orders").where("o_custkey < 800")
     mm = F.col("o_custkey").cast("int")
-    return rows.select("o_orderkey", rules.elevation(token).alias("level"), rules.number_or_zero(F.concat(n.cast("string"), F.lit(",0"))).alias("number"), rules.plausible_manhole_diameter(F.col("o_orderkey")).alias("plausible"), rules.keeps_ocr_pipe(F.lit("PVC"), mm, F.lit(True)).alias("pipe"))
+    return orders.select("o_orderkey", rules.elevation(token).alias("level"), rules.number_or_zero(F.concat(n.cast("string"), F.lit(",0"))).alias("number"), rules.plausible_manhole_diameter(F.col("o_orderkey")).alias("plausible"), rules.keeps_ocr_pipe(F.lit("PVC"), mm, F.lit(True)).alias("pipe"))
 
 
 @query(f"WITH {PAGES} SELECT doc_id, page_no, CASE WHEN o_orderstatus = 'F' THEN 'D' || (o_custkey % 120) ELSE 'KD' || (o_orderkey % 30) END AS identifier FROM pages WHERE (o_orderstatus = 'F' AND o_custkey % 120 < 100) OR o_orderstatus = 'O'")

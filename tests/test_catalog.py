@@ -11,3 +11,10 @@ def test_query(spark, sf_dir, name):
         compare(df, catalog.ORACLE_SQL[name], sf_dir)
     else:
         assert df.count() > 0
+
+
+def test_every_order_is_parsed(spark):
+    sf_dir = "/root/testdata/sf0.1"
+    found = catalog.QUERIES["decimal_parse_all"](spark, sf_dir)
+    assert found.count() == spark.read.parquet(f"{sf_dir}/orders.parquet").count()
+    compare(found, catalog.ORACLE_SQL["decimal_parse_all"], sf_dir)
