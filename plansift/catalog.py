@@ -413,7 +413,16 @@ def owner_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, list_transform(list_filter(string_split(text, ' '), lambda w: w <> ''), lambda w: w)[1] AS first_word, CAST(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS BIGINT) AS n FROM documents WHERE n_chars < 300 AND text NOT LIKE ' %' AND position(chr(10) IN string_split(text, ' ')[1]) = 0")
 def chars_to_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = adapters.table(spark, sf_dir, "documents").where("n_chars < 300 AND text NOT LIKE ' %' AND instr(split(text, ' ')[0], '\n') = 0")
+    return _first_words(adapters.table(spark, sf_dir, "documents").where("n_chars < 300 AND text NOT LIKE ' %' AND instr(split(text, ' ')[0], '\n') = 0"))
+
+
+@query("SELECT doc_id, w[1] AS first_word, len(w) AS n FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS w FROM documents) WHERE len(w) > 0")
+def chars_to_words_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """chars_to_words over every document, whole; those without words have no row."""
+    return _first_words(adapters.table(spark, sf_dir, "documents"))
+
+
+def _first_words(docs: DataFrame) -> DataFrame:
     glyphs = docs.select(F.col("doc_id"), F.lit(1).alias("page_no"), F.posexplode(F.split("text", "")).alias("idx", "char")).where("char <> ''")
     glyphs = glyphs.withColumns({"left": F.col("idx") * 5.0, "right": F.col("idx") * 5.0 + 4, "top": F.lit(10.0), "bottom": F.lit(0.0)})
     found = rows.chars_to_words(glyphs)

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from plansift import catalog
 from tests.oracle import compare
@@ -18,3 +19,10 @@ def test_every_order_is_parsed(spark):
     found = catalog.QUERIES["decimal_parse_all"](spark, sf_dir)
     assert found.count() == spark.read.parquet(f"{sf_dir}/orders.parquet").count()
     compare(found, catalog.ORACLE_SQL["decimal_parse_all"], sf_dir)
+
+
+def test_words_of_every_document(spark, tmp_path):
+    texts = ["  led by blanks", "a\nline feed first", "\n", "", "long " * 400 + "end", "one"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("n_chars", F.length("text").cast("long")).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: (r["first_word"], r["n"]) for r in catalog.QUERIES["chars_to_words_all"](spark, str(tmp_path)).collect()}
+    assert found == {k: (t.split()[0], len(t.split())) for k, t in enumerate(texts) if t.split()}
