@@ -455,6 +455,17 @@ def cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cache.lookup(docs.select("doc_id", F.col("text").alias("content")), known, "engine", "1").select("doc_id", "hash", F.col("document").isNotNull().alias("hit"))
 
 
+@query("SELECT doc_id, upper(sha256(text)) AS hash, min(doc_id) OVER (PARTITION BY text) % 6 = 0 AS hit FROM documents")
+def cache_lookup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """cache_lookup of every document, copies too, in a cache of all contents: of another engine, an old version with broken JSON, or to be hit."""
+    docs = adapters.table(spark, sf_dir, "documents")
+    first = F.col("first")
+    body = F.when(first % 2 == 0, F.lit('{"version": "1", "pages": [{"number": 1, "text": "a", "items": []}]}')).otherwise(F.lit('{"version": "0", "pages": []'))
+    known = docs.groupBy(cache.content_hash(F.col("text")).alias("hash")).agg(F.min("doc_id").alias("first"))
+    known = known.select(F.when(first % 3 == 0, "engine").otherwise("another").alias("identity"), "hash", body.alias("body"))
+    return cache.lookup(docs.select("doc_id", F.col("text").alias("content")), known, "engine", "1").select("doc_id", "hash", F.col("document").isNotNull().alias("hit"))
+
+
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events")
 def json_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapters.table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))

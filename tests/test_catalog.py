@@ -26,3 +26,10 @@ def test_words_of_every_document(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("n_chars", F.length("text").cast("long")).write.parquet(f"{tmp_path}/documents.parquet")
     found = {r["doc_id"]: (r["first_word"], r["n"]) for r in catalog.QUERIES["chars_to_words_all"](spark, str(tmp_path)).collect()}
     assert found == {k: (t.split()[0], len(t.split())) for k, t in enumerate(texts) if t.split()}
+
+
+def test_copies_are_looked_up(spark, tmp_path):
+    texts = {1: "a", 6: "b", 7: "b", 8: "a", 12: "c", 13: "d", 14: "b"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: r["hit"] for r in catalog.QUERIES["cache_lookup_all"](spark, str(tmp_path)).collect()}
+    assert found == {k: t in "bc" for k, t in texts.items()}
