@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -103,10 +104,27 @@ def _blocks(bits: list[int], radius: int) -> list[list[int]]:
     return [list(x) for x in np.array_split(np.array(bits), radius + 2)]
 
 
+def _bits(path: int, radius: int) -> tuple[list[int], list[int]]:
+    """The bits by which the buckets of a path are dealt, and those left. A path has two decimal digits for each pair of blocks, from 1."""
+    used, rest = [], list(range(64))
+    for x in [path // 100**k % 100 for k in range(10) if path >= 100**k][::-1]:
+        a, b = list(combinations(_blocks(rest, radius), 2))[x - 1]
+        used += a + b
+        rest = [bit for bit in rest if bit not in a + b]
+    return used, rest
+
+
+def _levels(radius: int) -> int:
+    """How often fingerprints can be dealt out with a bit at least in each block."""
+    n, rest = 0, 64
+    while rest >= radius + 2:
+        n, rest = n + 1, rest - 2 * -(-rest // (radius + 2))
+    return n
+
+
 def _dealt(radius: int, again: bool):
-    """Rows (bucket, fp, table): the fingerprint once for each pair of blocks; again: by two blocks of the bits left."""
+    """Rows (pair, bucket, fp, near): the fingerprint once for each pair of blocks; again: by two blocks of the bits its path has left."""
     refs = pivots()
-    blocks = _blocks(list(range(64)), radius)
 
     def value(fp: np.ndarray, bits: list[int]) -> np.ndarray:
         out = np.zeros(len(fp), np.uint64)
@@ -117,20 +135,14 @@ def _dealt(radius: int, again: bool):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             fp = frame["fp"].to_numpy().view(np.uint64)
-            near = list(map(bytes, pivot_table(fp, refs))) if not again else frame["near"].tolist()
-            for x, pair in enumerate(combinations(blocks, 2)):
-                mask = frame["pair"].to_numpy() == x if again else slice(None)
-                if again and not mask.any():
-                    continue
-                some, kept = fp[mask], [n for n, m in zip(near, mask, strict=True) if m] if again else near
-                bits = pair[0] + pair[1]
-                key = value(some, bits)
-                if not again:
-                    yield pd.DataFrame({"pair": np.int32(x), "bucket": key.view(np.int64), "fp": some.view(np.int64), "near": kept})
-                    continue
-                rest = [b for b in range(64) if b not in bits]
-                for y, finer in enumerate(combinations(_blocks(rest, radius), 2)):
-                    yield pd.DataFrame({"pair": np.int32(100 * (x + 1) + y), "bucket": value(some, bits + finer[0] + finer[1]).view(np.int64), "fp": some.view(np.int64), "near": kept})
+            near = np.empty(len(fp), object)
+            near[:] = frame["near"].tolist() if again else list(map(bytes, pivot_table(fp, refs)))
+            paths = frame["pair"].to_numpy() if again else np.zeros(len(fp), np.int64)
+            for path in np.unique(paths).tolist():
+                some, kept = fp[paths == path], near[paths == path]
+                used, rest = _bits(path, radius)
+                for y, (a, b) in enumerate(combinations(_blocks(rest, radius), 2)):
+                    yield pd.DataFrame({"pair": np.int64(100 * path + y + 1), "bucket": value(some, used + a + b).view(np.int64), "fp": some.view(np.int64), "near": kept})
 
     return run
 
@@ -154,7 +166,8 @@ def _verified(radius: int, most: int = 1 << 16):
                 whole = pd.concat(held, ignore_index=True)
                 last = whole.iloc[-1]
                 open_ = ((whole["pair"] == last["pair"]) & (whole["bucket"] == last["bucket"])).to_numpy()
-                yield part(whole[~open_])
+                if not open_.all():
+                    yield part(whole[~open_])
                 held, rows = [whole[open_]], int(open_.sum())
         if rows:
             yield part(pd.concat(held, ignore_index=True))
@@ -167,15 +180,20 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
 
     fps: column fp. Every such pair shares two of radius + 2 blocks of bits, which deals the fingerprints into buckets; in a bucket,
     distances to the references discard pairs, and the rest are measured. A bucket of more than CROWDED fingerprints is dealt out
-    again by the same rule over its other bits, so no pair is lost and no task gets a crowd.
+    again by the same rule over its other bits, until none is crowded or too few bits are left; so no pair is lost.
     """
     spark = fps.sparkSession
     n = partitions(spark)
-    dealt = stored(fps.select("fp").distinct().mapInPandas(_dealt(radius, False), "pair int, bucket long, fp long, near binary"), "buckets")
-    crowds = stored(dealt.groupBy("pair", "bucket").count().where(F.col("count") > CROWDED).select("pair", "bucket"), "crowds")
-    if not crowds.isEmpty():
-        crowded = dealt.join(crowds, ["pair", "bucket"], "left_semi").mapInPandas(_dealt(radius, True), "pair int, bucket long, fp long, near binary")
-        dealt = dealt.join(crowds, ["pair", "bucket"], "left_anti").unionByName(crowded)
+    shape = "pair long, bucket long, fp long, near binary"
+    dealt = stored(fps.select("fp").distinct().mapInPandas(_dealt(radius, False), shape), "buckets")
+    done = []
+    for level in range(1, _levels(radius)):
+        crowds = stored(dealt.groupBy("pair", "bucket").count().where(F.col("count") > CROWDED).select("pair", "bucket"), "crowds")
+        if crowds.isEmpty():
+            break
+        done.append(dealt.join(crowds, ["pair", "bucket"], "left_anti"))
+        dealt = stored(dealt.join(crowds, ["pair", "bucket"], "left_semi").mapInPandas(_dealt(radius, True), shape), f"buckets{level}")
+    dealt = reduce(DataFrame.unionByName, done, dealt)
     sorted_ = dealt.repartition(n, "pair", "bucket").sortWithinPartitions("pair", "bucket")
     return sorted_.mapInPandas(_verified(radius), "a long, b long")
 

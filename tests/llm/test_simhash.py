@@ -91,3 +91,27 @@ def test_query(spark, sf_dir):
     for r in op7_simhash(spark, sf_dir).collect():
         assert r["fingerprint"] == f"{fps[r['doc_id']]:016x}"
         assert r["component_id"] == min(k for k in docs if want[fps[k]] == want[fps[r["doc_id"]]])
+
+
+def test_crowded_buckets_are_dealt_again_and_one_may_be_all_there_is(spark, monkeypatch):
+    import pandas as pd
+
+    rng = np.random.default_rng(4)
+    flips = [sum(1 << int(b) for b in rng.choice(64, 3, replace=False)) for _ in range(60)]
+    fps = sorted({f ^ g for f in (0, (1 << 63) - 1) for g in flips} | {int(x) for x in rng.integers(0, 1 << 62, 20)})
+    fps = [f - (1 << 64) if f >> 63 else f for f in fps]
+    near = list(map(bytes, simhash.pivot_table(np.array(fps).view(np.uint64), simhash.pivots())))
+    frame = pd.DataFrame({"pair": 1, "bucket": 7, "fp": fps, "near": near})
+    assert len(pd.concat(simhash._verified(4, most=8)(iter([frame[:50], frame[50:]]))))
+    monkeypatch.setattr(simhash, "CROWDED", 4)
+    found = simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long")).collect()
+    far = lambda a, b: ((a ^ b) & ((1 << 64) - 1)).bit_count()
+
+    def parts(pairs):
+        of = {f: f for f in fps}
+        for a, b in pairs:
+            x, y = of[a], of[b]
+            of = {f: x if g == y else g for f, g in of.items()}
+        return {frozenset(f for f in fps if of[f] == g) for g in of.values()}
+
+    assert parts((r["a"], r["b"]) for r in found) == parts((a, b) for a in fps for b in fps if a < b and far(a, b) <= 4)
