@@ -4,23 +4,67 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a new folder where it is unset (local runs)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset (local runs)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         found = tempfile.mkdtemp(prefix="plansift-")
+    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+#: What stored() wrote and nothing has deleted yet, oldest first.
+_written: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: what follows is planned and run from there, also after lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables that stored() wrote."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _written.remove(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession, keep: bool = False) -> Iterator[list[str]]:
+    """Tables that stored() writes inside are deleted at the end, but for those whose paths are put in the list that this gives.
+
+    What is computed from them has to be written by then. With keep nothing is deleted, to look at.
+    """
+    first, wanted = len(_written), []
+    try:
+        yield wanted
+    finally:
+        if not keep:
+            discard(spark, [p for p in _written[first:] if p not in wanted])
+
+
+def last_stored() -> str:
+    """The path of the table that stored() wrote last."""
+    return _written[-1]
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
