@@ -21,6 +21,9 @@ def brute(rows, k, every):
 def test_against_brute_force(spark, monkeypatch, n):
     monkeypatch.setattr(knn, "SHARD", 50)
     monkeypatch.setattr(knn, "LEAF", 4)
+    monkeypatch.setattr(knn, "BLOCK", 3)
+    monkeypatch.setattr(knn, "PACK", 2)
+    monkeypatch.setattr(knn, "SAMPLE", 64)
     rng = random.Random(n)
     rows = [(i, [rng.choice([-0.5, 0.25, 0.1, rng.gauss(0, 1)]) for _ in range(6)]) for i in range(n)]
     if n > 100:
@@ -31,6 +34,24 @@ def test_against_brute_force(spark, monkeypatch, n):
     assert found == brute(rows, 5, 10)
 
 
+def test_empty_vectors_and_a_vector_that_many_rows_share(spark, monkeypatch):
+    monkeypatch.setattr(knn, "SHARD", 32)
+    monkeypatch.setattr(knn, "SAMPLE", 300)
+    rng = random.Random(9)
+    rows = [(i, []) for i in range(100)] + [(100 + i, [0.5, -0.25, 0.125]) for i in range(150)] + [(300 + i, [rng.gauss(0, 1) for _ in range(3)]) for i in range(150)]
+    found = sorted(tuple(r) for r in knn.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect())
+    assert found == brute(rows, 5, 50)
+
+
+def test_no_join_meets_on_one_key(spark, monkeypatch):
+    monkeypatch.setattr(knn, "SHARD", 20)
+    monkeypatch.setattr(knn, "SAMPLE", 64)
+    rng = random.Random(1)
+    df = spark.createDataFrame([(i, [rng.gauss(3 * (i % 2), 1), 1.0]) for i in range(400)], "vec_id long, embedding array<float>")
+    plan = knn.top_k(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
 def test_tree_prunes_but_finds_all():
     rng = np.random.default_rng(0)
     vectors = rng.integers(-100, 100, (1000, 5)).astype(float)
@@ -40,3 +61,4 @@ def test_tree_prunes_but_finds_all():
         own = int(np.flatnonzero((vectors == q).all(axis=1))[0])
         want = sorted(((-s, i) for i, s in enumerate(scores.tolist()) if i != own))[:3]
         assert found == [(-s, i) for s, i in want]
+    assert tree.seen < 20 * 1000
