@@ -8,6 +8,7 @@ it), each a logarithmic update. Trees of pieces of like size are worked on toget
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,10 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 NONE = np.int64(1) << np.int64(62)
-#: Cells of one array of trees; a larger piece has an array to itself.
+#: Cells of one array of trees.
 CELLS = 1 << 20
-#: Half the words that a Python worker remembers: the older half goes when the newer one is full.
-REMEMBERED = 400_000
+#: Longer pieces (in bytes), and those with fewer of their like, are merged one by one.
+TOGETHER, FEW = 64, 48
+#: Half the bytes that a Python worker's memory of words takes: the older half goes when the newer one is full.
+REMEMBERED = 80 << 20
+#: Words of more characters aren't remembered, and what an entry takes besides its key and ids.
+LONGEST, ENTRY = 64, 180
 _WHITE = r"[\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Two white-space characters together, or one at an end: such texts aren't cut at their spaces.
 LOOSE = rf"\A\z|{_WHITE}{{2}}|\A{_WHITE}|{_WHITE}\z"
@@ -46,6 +51,13 @@ class Ranks:
                     pairs[left << 32 | right] = rank
         self.pairs = np.array(sorted(pairs), dtype=np.int64)
         self.merged = np.array([pairs[k] for k in self.pairs.tolist()], dtype=np.int64)
+        self.rank_of = pairs
+        # two bytes that no token has side by side are never merged over: a piece falls apart there
+        inside = np.ones(len(self.token_bytes), bool)
+        inside[np.cumsum(self.token_sizes)[self.token_sizes > 0] - 1] = False
+        self.together = np.zeros(1 << 16, bool)
+        at = np.flatnonzero(inside[:-1])
+        self.together[self.token_bytes[at].astype(np.int64) << 8 | self.token_bytes[at + 1]] = True
 
     def pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair, NONE where the two don't merge."""
@@ -63,6 +75,10 @@ class Ranks:
             elif piece:
                 by_size.setdefault(1 << (len(piece) - 1).bit_length(), []).append(k)
         for size, ks in by_size.items():
+            if size > TOGETHER or len(ks) < FEW:
+                for k in ks:
+                    out[k] = self._long(pieces[k])
+                continue
             step = max(1, CELLS // size)
             for at in range(0, len(ks), step):
                 part = ks[at : at + step]
@@ -70,6 +86,76 @@ class Ranks:
                     out[k] = ids
         return out
 
+    def _long(self, piece: bytes) -> bytes:
+        """The ids of one piece, part by part: it is cut between bytes that no token holds side by side."""
+        data = np.frombuffer(piece, np.uint8)
+        cuts = np.flatnonzero(~self.together[data[:-1].astype(np.int64) << 8 | data[1:]]) + 1
+        known: dict[bytes, bytes] = {}
+        out = []
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(piece)], strict=True):
+            part = piece[a:b]
+            if part not in known:
+                known[part] = self._tree(part)
+            out.append(known[part])
+        return b"".join(out)
+
+    def _tree(self, piece: bytes) -> bytes:
+        """The ids of one piece by its own segment tree: about 40 bytes of memory for each of its bytes."""
+        n = len(piece)
+        if n < 2:
+            return self.bytes[list(piece)].astype("<u4").tobytes()
+        size = 1 << (n - 1).bit_length()
+        token = self.bytes[np.frombuffer(piece, np.uint8)]
+        leaves = np.full(size, NONE)
+        found = self.pair(token[:-1], token[1:])
+        leaves[: n - 1] = np.where(found < NONE, found * size + np.arange(n - 1), NONE)
+        levels = [leaves]
+        while len(levels[-1]) > 1:
+            levels.append(np.minimum(levels[-1][::2], levels[-1][1::2]))
+        tree = array("q", np.concatenate([np.zeros(1, np.int64), *levels[::-1]]).tobytes())
+        ids, after, before = array("q", token.tobytes()), array("l", range(1, n + 1)), array("l", range(-1, n - 1))
+        rank_of, none, shift = self.rank_of, int(NONE), size.bit_length() - 1
+
+        while (root := tree[1]) < none:
+            at, rank = root & size - 1, root >> shift
+            gone, left = after[at], before[at]
+            then = after[gone]
+            ids[at], ids[gone], after[at] = rank, -1, then
+            a = b = at + size
+            c = gone + size
+            if then < n:
+                before[then] = at
+                found = rank_of.get(rank << 32 | ids[then])
+                tree[b] = none if found is None else found << shift | at
+            else:
+                tree[b] = none
+            tree[c] = none
+            if left >= 0:
+                found = rank_of.get(ids[left] << 32 | rank)
+                a = left + size
+                tree[a] = none if found is None else found << shift | left
+            while a != c:  # up, until the three paths are one
+                a, b, c = a >> 1, b >> 1, c >> 1
+                x, y = tree[2 * a], tree[2 * a + 1]
+                tree[a] = x if x < y else y
+                if b != a:
+                    x, y = tree[2 * b], tree[2 * b + 1]
+                    tree[b] = x if x < y else y
+                if c != b:
+                    x, y = tree[2 * c], tree[2 * c + 1]
+                    tree[c] = x if x < y else y
+            least = tree[a]
+            while a > 1:
+                other = tree[a ^ 1]
+                a >>= 1
+                if other < least:
+                    least = other
+                if tree[a] == least:
+                    break
+                tree[a] = least
+        left_over = np.frombuffer(ids, np.int64)
+        return left_over[left_over >= 0].astype("<u4").tobytes()
+
     def _trees(self, pieces: list[bytes], size: int) -> list[bytes]:
         n = len(pieces)
         lengths = np.fromiter(map(len, pieces), np.int64, n)
@@ -133,7 +219,7 @@ class Words:
 
     def __init__(self, encode):
         """encode: from a list of strings to the ids of each, as little-endian unsigned 32-bit integers."""
-        self.encode, self.known, self.older = encode, {}, {}
+        self.encode, self.known, self.older, self.size = encode, {}, {}, 0
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts (no nulls), and the places where each text's begin, with the end."""
@@ -150,8 +236,8 @@ class Words:
         return out, starts
 
     def _cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.known) > REMEMBERED:
-            self.known, self.older = {}, self.known
+        if self.size > REMEMBERED:
+            self.known, self.older, self.size = {}, self.known, 0
         # the \r\n marks the first word: no key of another kind begins so, as white space twice makes a text loose
         marked = pc.binary_join_element_wise("\r\n", pc.replace_substring(texts, "\n", " \n"), "")
         words = pc.split_pattern(marked, " ")
@@ -160,10 +246,18 @@ class Words:
         known, older = self.known, self.older
         missing = [w for w in keys if w not in known]
         if older:
-            known.update((w, older[w]) for w in missing if w in older)
+            again = [w for w in missing if w in older]
+            known.update((w, older[w]) for w in again)
+            self.size += sum(len(w) + len(older[w]) + ENTRY for w in again)
             missing = [w for w in missing if w not in older]
         known.update(zip(missing, self.encode([w[2:] if w[:2] == "\r\n" else w if w[:1] == "\n" else " " + w for w in missing]), strict=True))
         found = [known[w] for w in keys]
+        self.size += ENTRY * len(missing)
+        for w in missing:
+            if len(w) > LONGEST:
+                del known[w]
+            else:
+                self.size += len(w) + len(known[w])
         at = each.indices.to_numpy()
         ids, taken = gather(np.frombuffer(b"".join(found), "<u4"), np.fromiter((len(x) // 4 for x in found), np.int64, len(found)), at)
         return ids, np.concatenate([[0], np.cumsum(taken)])[words.offsets.to_numpy()]

@@ -6,6 +6,7 @@ filters on the document ids, so readers take stripes in parallel and skip those
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from array import array
@@ -27,14 +28,42 @@ ORC = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "or
 _open: dict = {}
 
 
-def _words(path: str, pattern: str) -> Words:
-    """Words by the BPE model of a byte-level tokenizer of the tokenizers library; texts with its special tokens go through the whole tokenizer."""
-    if (path, pattern) not in _open:
+#: What a tokenizer file must say for its words to be taken one by one: byte-level BPE without extras. PATTERN is that pre-tokenizer's own.
+PLAIN = {"normalizer": [None], "truncation": [None], "padding": [None]}
+PLAIN_CUT = {"type": ["ByteLevel"], "add_prefix_space": [False], "use_regex": [True]}
+PLAIN_MODEL = {"type": ["BPE"], "dropout": [None, 0], "unk_token": [None], "continuing_subword_prefix": [None, ""], "end_of_word_suffix": [None, ""], "fuse_unk": [False], "byte_fallback": [False], "ignore_merges": [False]}
+
+
+def by_words(path: str) -> bool:
+    """Whether a tokenizer's file is plain byte-level BPE, whose texts may be cut into words; texts of any other go to the library whole."""
+    with open(path, encoding="utf-8") as f:
+        known = json.load(f)
+    fits = lambda part, wanted: isinstance(part, dict) and all(part.get(k) in values for k, values in wanted.items())
+    odd = ("single_word", "lstrip", "rstrip", "normalized")
+    return fits(known, PLAIN) and fits(known.get("pre_tokenizer"), PLAIN_CUT) and fits(known.get("model"), PLAIN_MODEL) and not any(t.get(k) for t in known.get("added_tokens", []) for k in odd)
+
+
+class Whole:
+    """Ids of whole texts by the library, a few at a time."""
+
+    def __init__(self, tokenizer, some: int = 64):
+        self.tokenizer, self.some = tokenizer, some
+
+    def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        each = []
+        for at in range(0, len(texts), self.some):
+            each += [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch(texts.slice(at, self.some).to_pylist(), add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, "<u4"), *each]), np.cumsum([0, *map(len, each)])
+
+
+def _encoder(path: str) -> Words | Whole:
+    """By words, where the file allows it: the library's BPE model per word, its whole tokenizer for words with a special token."""
+    if path not in _open:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        model, cut = tokenizer.model, regex.compile(pattern)
+        model, cut = tokenizer.model, regex.compile(public_tokenizers.PATTERN)
         special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         # the letters by which byte-level vocabularies write bytes: printable ones themselves, the rest from 256 on
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -51,11 +80,12 @@ def _words(path: str, pattern: str) -> Words:
                 out.append(array("I", ids).tobytes())
             return out
 
-        _open[path, pattern] = Words(encode)
-    return _open[path, pattern]
+        # a special token with white space could lie across a cut
+        _open[path] = Words(encode) if by_words(path) and not any(c.isspace() for t in special for c in t) else Whole(tokenizer)
+    return _open[path]
 
 
-def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int, pattern: str = public_tokenizers.PATTERN, key: str = "doc_id", text: str = "text") -> None:
+def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text") -> None:
     """Writes the ids of every whole text, then end_id, to ORC files at out, ranges of keys in ascending order.
 
     Columns: doc_id, part (the file's number in the order of keys), file_start (ids of the documents before it in its file),
@@ -67,7 +97,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int, pattern
     rows = rows.repartitionByRange(partitions(docs.sparkSession), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, before = _words(tokenizer, pattern), 0
+        words, before = _encoder(tokenizer), 0
         for part in portions(batches):
             ids, starts = words.texts(part.column(1))
             ends = starts + np.arange(len(starts))

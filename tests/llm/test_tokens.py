@@ -1,9 +1,12 @@
 import base64
 import hashlib
+import json
 import random
 import struct
+import time
 import zlib
 
+import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
 import tiktoken
@@ -49,6 +52,61 @@ def test_pieces_of_every_size():
     assert ranks.pieces([]) == []
 
 
+def test_long_unbroken_pieces():
+    rng, ranks = random.Random(3), bpe.ranks(RANKS, P.PATTERN)
+    ids = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ids, special_tokens={})
+    pieces = ["".join(rng.choice("etaoinshrdluйабв日") for _ in range(1_000_000)), "=" * 100_000, "ab" * 3000, "zq" + "x" * 65, "\U0001f600" * 700]
+    began = time.perf_counter()
+    found = ranks.pieces([p.encode() for p in pieces])
+    assert time.perf_counter() - began < 60
+    for piece, got in zip(pieces, found, strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == library._encode_single_piece(piece.encode())
+
+
+def test_the_memory_of_words_is_bounded(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 20_000)
+    calls = []
+
+    def encode(strings):
+        calls.append(len(strings))
+        return [len(s).to_bytes(4, "little") for s in strings]
+
+    words = bpe.Words(encode)
+    for k in range(50):
+        ids, starts = words.texts(pa.array([" ".join(["x", *(f"w{k}-{j}" for j in range(40)), "long" * 1000])]))
+        assert starts.tolist() == [0, 42] and ids[-1] == 4001
+        assert words.size <= 20_000 + 41 * (bpe.ENTRY + 20) and max(map(len, words.known)) <= bpe.LONGEST
+
+
+def test_other_tokenizers_get_whole_texts(spark, tmp_path):
+    path = P.path("byte_bpe_50k.json")
+    assert tokens.by_words(path) and not tokens.by_words(P.path("word_bpe_49k.json"))
+    known = json.load(open(path))
+    known["pre_tokenizer"]["add_prefix_space"] = True
+    known["normalizer"] = {"type": "Lowercase"}
+    (tmp_path / "own.json").write_text(json.dumps(known))
+    for own in (str(tmp_path / "own.json"), P.path("word_bpe_49k.json")):
+        library = Tokenizer.from_file(own)
+        ids, starts = tokens._encoder(own).texts(pa.array(["Ab c", "", "x Y\n z"]))
+        for text, a, b in zip(["Ab c", "", "x Y\n z"], starts, starts[1:], strict=False):
+            assert ids[a:b].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_token_files_query(spark, sf_dir):
+    from plansift.llm.queries import op8_token_files
+
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    rows = sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect())
+    found = {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in op8_token_files(spark, sf_dir).collect()}
+    start = 0
+    for key, text in rows:
+        ids = library.encode(text or "", add_special_tokens=False).ids + [2]
+        assert found.pop(key) == (start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
+        start += len(ids)
+    assert not found
+
+
 def test_encode_decode_of_odd_rows(spark):
     rows = [(i, t, "x") for i, t in enumerate(ODD)] + [(1, None, "y"), (None, "null key", "z"), (2, "a", "w")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")
@@ -91,4 +149,8 @@ def test_query_round_trip(spark, sf_dir):
     texts_ = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     found = op6_byte_bpe(spark, sf_dir).collect()
     assert len(found) == len(texts_)
+    ids = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ids, special_tokens={})
+    want = {k: library.encode_ordinary(t or "") for k, t in texts_.items()}
+    assert all((r["n_tokens"], r["ids_sha256"]) == (len(want[r["doc_id"]]), hashlib.sha256(struct.pack(f"<{len(want[r['doc_id']])}I", *want[r["doc_id"]])).hexdigest()) for r in found)
     assert all(r["decoded_sha256"] == hashlib.sha256((texts_[r["doc_id"]] or "").encode()).hexdigest() for r in found)
