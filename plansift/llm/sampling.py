@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Longer texts (in code points) aren't used for fitting; all are scored.
-FIT_CHARS = 20_000
+FIT_CHARS = 10_000
 
 
 def fold(key: str, n: int) -> Column:

@@ -19,6 +19,8 @@ BITS = 18
 #: Bounds of the rows that a model is fitted on.
 POSITIVE, UNLABELLED = 3_000, 9_000
 REMEMBERED = 400_000
+#: The class prior where there are fewer than FEW texts of a kind to estimate it from.
+PRIOR, FEW = 0.1, 100
 #: Features of a model.
 CHOSEN = 256
 EDGES = "\"'.,;:!?()[]{}<>«»„“”‘’¡¿…*#&$%|-_/\\=+~`^@"
@@ -77,17 +79,70 @@ def chosen(p: list[np.ndarray], u: list[np.ndarray], most: int = CHOSEN, least:
     return np.sort(first[z[first] >= least])
 
 
-def fit(positive: list[str], unlabelled: list[str], prior: float, steps: int = 420, rate: float = 20.0, decay: float = 1e-5, seed: int = 0) -> Model:
+def risk_slopes(gp: np.ndarray, gu: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray, bool]:
+    """What a step follows: the slopes of the non-negative risk in the outputs for confirmed and unlabelled texts.
+
+    Risk: prior * E_P[l(g)] + max(0, E_U[l(-g)] - prior * E_P[l(-g)]), l the logistic loss. Where the part that stands for negatives
+    is below zero, the slopes are those of minus that part, so that a step down them brings it back up; the last value tells.
+    """
+    sp, su = (1 / (1 + np.exp(-np.clip(g, -30, 30))) for g in (gp, gu))
+    if np.logaddexp(0, gu).mean() < prior * np.logaddexp(0, gp).mean():
+        return prior * sp / len(gp), -su / len(gu), True
+    return np.full(len(gp), -prior / len(gp)), su / len(gu), False
+
+
+def prior_of(positive: np.ndarray, unlabelled: np.ndarray, least: float = 0.25) -> float:
+    """The share of positives among unlabelled texts, from scores of both that no fit has seen.
+
+    Above any threshold lie at least prior times as many of the unlabelled as of the positives; so the prior is at most the ratio of
+    the two shares, and the smallest ratio over thresholds that `least` of the positives pass comes closest.
+    """
+    ordered = np.sort(positive)[::-1]
+    n = np.arange(1, len(ordered) + 1)
+    above = len(unlabelled) - np.searchsorted(np.sort(unlabelled), ordered, "left")
+    ratio = ((above + 0.5) / (len(unlabelled) + 1)) / (n / len(ordered))
+    return float(min(1.0, ratio[n >= least * len(ordered)].min()))
+
+
+#: The features of some texts' words, and a scale for each text (see _rows).
+Rows = tuple[list[np.ndarray], np.ndarray]
+
+
+def estimated_prior(positive: Rows, unlabelled: Rows, seed: int = 0) -> float:
+    """prior_of scores by models that tell positives from unlabelled texts, each fitted on one half and scoring the other.
+
+    With fewer than FEW of either the estimate would be noise; it is PRIOR then.
+    """
+    if min(len(positive[0]), len(unlabelled[0])) < FEW:
+        return PRIOR
+    scores: tuple[list, list] = ([], [])
+    for side in (0, 1):
+        kept, w, bias = _fitted(*((ids[side::2], scale[side::2]) for ids, scale in (positive, unlabelled)), 0.5, steps=120, seed=seed, clamp=False)
+        dense = np.zeros(1 << BITS)
+        dense[kept] = w
+        for out, (ids, scale) in zip(scores, (positive, unlabelled), strict=True):
+            out += [bias + c * dense[x].sum() for x, c in zip(ids[1 - side :: 2], scale[1 - side :: 2], strict=True)]
+    return prior_of(*map(np.array, scores))
+
+
+def fit(positive: list[str], unlabelled: list[str], prior: float | None = None, steps: int = 420, seed: int = 0) -> Model:
     """A linear model by the non-negative risk of PU learning, logistic loss, stochastic gradient descent with momentum.
 
-    Risk: prior * E_P[l(g)] + max(0, E_U[l(-g)] - prior * E_P[l(-g)]). Where the part that stands for negatives falls below zero
-    in a batch, the step goes up that part instead. Without positives or unlabelled texts the model is the prior alone.
+    Without a prior it is estimated from the same texts. Without positives or unlabelled texts the model is the prior alone.
     """
+    p, u = _rows(positive), _rows(unlabelled)
+    prior = estimated_prior(p, u, seed) if prior is None else prior
     if not positive or not unlabelled:
         base = min(max(prior if positive else 0.0, 1e-6), 1 - 1e-6)
         return Model({}, math.log(base / (1 - base)))
+    kept, w, bias = _fitted(p, u, prior, steps, seed)
+    return Model({int(k): float(x) for k, x in zip(kept, w, strict=True)}, bias)
+
+
+def _fitted(positive: Rows, unlabelled: Rows, prior: float, steps: int, seed: int, clamp: bool = True, rate: float = 20.0, decay: float = 1e-5) -> tuple[np.ndarray, np.ndarray, float]:
+    """The chosen features, their weights and the bias. Without clamp, unlabelled texts simply stand for negatives."""
     rng = np.random.default_rng(seed)
-    (p, p_scale), (u, u_scale) = _rows(positive), _rows(unlabelled)
+    (p, p_scale), (u, u_scale) = positive, unlabelled
     kept = chosen(p, u)
     number = np.full(1 << BITS, -1)
     number[kept] = np.arange(len(kept))
@@ -101,34 +156,29 @@ def fit(positive: list[str], unlabelled: list[str], prior: float, steps: int = 4
             ids, scale = np.concatenate(part), np.concatenate([p_scale[a], u_scale[b]])
             row = np.repeat(np.arange(len(part)), [len(x) for x in part])
             g = np.bincount(row, w[ids], len(part)) * scale + bias
-            s = 1 / (1 + np.exp(-np.clip(g, -30, 30)))
-            gp, gu = g[: len(a)], g[len(a) :]
-            d = np.zeros(len(part))
-            if np.logaddexp(0, gu).mean() < prior * np.logaddexp(0, gp).mean():
-                d[: len(a)] = prior * s[: len(a)] / len(a)
-                d[len(a) :] = -s[len(a) :] / len(b)
+            if clamp:
+                d = np.concatenate(risk_slopes(g[: len(a)], g[len(a) :], prior)[:2])
             else:
-                d[: len(a)] = -prior / len(a)
-                d[len(a) :] = s[len(a) :] / len(b)
+                s = 1 / (1 + np.exp(-np.clip(g, -30, 30)))
+                d = np.concatenate([(s[: len(a)] - 1) / len(a), s[len(a) :] / len(b)]) / 2
             m = 0.9 * m + np.bincount(ids, (d * scale)[row], len(kept)) + decay * w
             w -= rate * m
             bias -= 0.5 * d.sum()
-    return Model({int(k): float(x) for k, x in zip(kept, w, strict=True)}, float(bias))
+    return kept, w, float(bias)
 
 
 def learned(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2) -> Model:
     """A model from the labels outside the held-out fold.
 
     Confirmed: at most POSITIVE rows labelled toxic; unlabelled: at most UNLABELLED documents whatever their labels; both the
-    first by a hash of the id, texts of at most FIT_CHARS. The class prior is the share of 1 among the usable labels.
+    first by a hash of the id, texts of at most FIT_CHARS. Labels of 0 are never read: the class prior comes from the same texts.
     """
-    usable = labels.select("doc_id", "toxic").where((fold("doc_id", folds) != held_out) & F.col("toxic").isNotNull())
-    prior = usable.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
-    confirmed = first_by_hash(usable.where("toxic = 1").select("doc_id").distinct(), "doc_id", POSITIVE, 4)
+    usable = labels.select("doc_id", "toxic").where((fold("doc_id", folds) != held_out) & (F.col("toxic") == 1))
+    confirmed = first_by_hash(usable.select("doc_id").distinct(), "doc_id", POSITIVE, 4)
     others = first_by_hash(docs.select("doc_id").where(fold("doc_id", folds) != held_out), "doc_id", UNLABELLED, 5)
     keys = confirmed.select("doc_id", F.lit(1).alias("_confirmed")).unionByName(others.select("doc_id", F.lit(0).alias("_confirmed")))
     rows = texts_of(docs, keys)
-    return fit([r[-1] for r in rows if r[1]], [r[-1] for r in rows if not r[1]], prior)
+    return fit([r[-1] for r in rows if r[1]], [r[-1] for r in rows if not r[1]])
 
 
 def with_score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
