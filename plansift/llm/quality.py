@@ -16,6 +16,8 @@ from plansift.llm.sampling import first_by_hash, fold, portions, texts_of
 PASSAGE = 64
 #: Bound of the rows that a model is fitted on.
 LABELLED = 6_000
+#: Bytes of a longer text that are looked at together (some 45 times that in memory), cut between passages.
+SLICE = 1 << 20
 HIDDEN = 24
 
 KINDS = {"upper": range(65, 91), "lower": range(97, 123), "digit": range(48, 58), "high": range(128, 256), "stop": b".,;:", "shout": b"!?", "bar": b"|", "quote": b"\"'()[]{}<>", "symbol": b"#$%&*@^~_=+/\\`-"}
@@ -30,7 +32,36 @@ FEATURES = len(KINDS) + 9
 
 def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """A row of features for each passage of PASSAGE words, and the number of passages of each text (at least one)."""
-    data = [t.encode("utf-8", "replace") for t in texts]
+    rows, counts, small = [], [], []
+    for t in texts:
+        data = t.encode("utf-8", "replace")
+        if len(data) <= SLICE:
+            small.append(data)
+            continue
+        own = [_passages(small), *(_passages([part]) for part in _slices(data))]
+        rows += [x for x, _ in own]
+        counts += [*own[0][1].tolist(), sum(int(c[0]) for _, c in own[1:])]
+        small = []
+    x, c = _passages(small)
+    return np.concatenate([*rows, x]), np.array([*counts, *c.tolist()], np.int64)
+
+
+def _slices(data: bytes) -> Iterator[bytes]:
+    """A text in parts of whole passages, of about SLICE bytes where no passage is longer."""
+    at, size = 0, SLICE
+    while at + size < len(data):
+        blank = _space[np.frombuffer(data, np.uint8, size, at)]
+        begins = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
+        whole = (len(begins) - 1) // PASSAGE * PASSAGE
+        if whole <= 0:
+            size *= 2
+            continue
+        yield data[at : at + int(begins[whole])]
+        at, size = at + int(begins[whole]), SLICE
+    yield data[at:]
+
+
+def _passages(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     joined = np.frombuffer(b" " + b" ".join(data) + b" ", np.uint8)
     starts_of = np.cumsum([1, *[len(d) + 1 for d in data]])[:-1] if data else np.zeros(0, np.int64)
     space = _space[joined]
@@ -42,12 +73,11 @@ def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     x = np.zeros((int(counts.sum()), FEATURES))
     if not len(begins):
         return x, counts
-    text_of = np.repeat(np.arange(len(texts)), per_text)
+    text_of = np.repeat(np.arange(len(data)), per_text)
     first_row = np.cumsum([0, *counts.tolist()])[:-1]
     row_of = first_row[text_of] + (np.arange(len(begins)) - words[:-1][text_of]) // PASSAGE
     rows, firsts, n = np.unique(row_of, return_index=True, return_counts=True)
     at = begins[firsts]
-    stops = np.append(at[1:], len(joined))
     length = ends - begins
     size = np.add.reduceat(length, firsts)
     kind = _kind[joined]
@@ -73,8 +103,11 @@ def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     x[rows, -4] = np.add.reduceat((last >= 5) * 1.0, firsts) / n
     x[rows, -3] = np.log1p(n) / 4
     x[rows, -2] = np.add.reduceat((length > 20) * 1.0, firsts) / n
-    x[rows, -1] = np.add.reduceat((joined == 10).view(np.uint8), at, dtype=np.int64) / n
-    del stops
+    # line feeds count to the passage before them, but none to a passage of the text before
+    feeds = np.flatnonzero(joined == 10)
+    before = np.searchsorted(begins, feeds, "right") - 1
+    own = (before >= 0) & (text_of[np.maximum(before, 0)] == np.searchsorted(starts_of, feeds, "right") - 1)
+    x[:, -1] = np.bincount(row_of[before[own]], minlength=len(x)) / np.maximum(1, np.bincount(row_of, minlength=len(x)))
     return x, counts
 
 
@@ -98,6 +131,21 @@ class Model:
         z = np.add.reduceat(a[:, None] * h, at, axis=0)
         return z @ last + bias[0], {"x": x, "at": at, "h": h, "v": v, "u": u, "a": a, "z": z}
 
+    def gradients(self, x: np.ndarray, counts: np.ndarray, y: np.ndarray) -> tuple[float, list[np.ndarray]]:
+        """The documents' mean logistic loss and its gradient in each of the parts."""
+        g, k = self.forward(x, counts)
+        own = self.parts
+        d = (1 / (1 + np.exp(-np.clip(g, -30, 30))) - y) / len(y)
+        dz = np.repeat(d[:, None] * own[7], counts, axis=0)
+        da = (dz * k["h"]).sum(axis=1)
+        de = k["a"] * (da - np.repeat(np.add.reduceat(k["a"] * da, k["at"]), counts))
+        dvu = de[:, None] * own[6]
+        dv, du = dvu * k["u"] * (1 - k["v"] ** 2), dvu * k["v"] * k["u"] * (1 - k["u"])
+        dh = k["a"][:, None] * dz + dv @ own[2].T + du @ own[4].T
+        dx = dh * (1 - k["h"] ** 2)
+        grads = [k["x"].T @ dx, dx.sum(axis=0), k["h"].T @ dv, dv.sum(axis=0), k["h"].T @ du, du.sum(axis=0), (k["v"] * k["u"]).T @ de, k["z"].T @ d, np.array([d.sum()])]
+        return float((np.logaddexp(0, g) - y * g).mean()), grads
+
     def score(self, texts: list[str]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.forward(*passages(texts))[0], -30, 30)))
 
@@ -122,16 +170,7 @@ def fit(texts: list[str], labels: list[int], epochs: int = 40, rate: float = 0.0
         for docs in np.array_split(rng.permutation(len(texts)), max(1, len(texts) // 128)):
             own = counts[docs]
             rows = np.repeat(at[docs] - (np.cumsum(own) - own), own) + np.arange(own.sum())
-            g, k = model.forward(x[rows], own)
-            d = (1 / (1 + np.exp(-np.clip(g, -30, 30))) - y[docs]) / len(docs)
-            dz = np.repeat(d[:, None] * parts[7], own, axis=0)
-            da = (dz * k["h"]).sum(axis=1)
-            de = k["a"] * (da - np.repeat(np.add.reduceat(k["a"] * da, k["at"]), own))
-            dvu = de[:, None] * parts[6]
-            dv, du = dvu * k["u"] * (1 - k["v"] ** 2), dvu * k["v"] * k["u"] * (1 - k["u"])
-            dh = k["a"][:, None] * dz + dv @ parts[2].T + du @ parts[4].T
-            dx = dh * (1 - k["h"] ** 2)
-            grads = [k["x"].T @ dx, dx.sum(axis=0), k["h"].T @ dv, dv.sum(axis=0), k["h"].T @ du, du.sum(axis=0), (k["v"] * k["u"]).T @ de, k["z"].T @ d, np.array([d.sum()])]
+            _, grads = model.gradients(x[rows], own, y[docs])
             step += 1
             for i, grad in enumerate(grads):
                 grad = grad + decay * parts[i]
@@ -151,7 +190,7 @@ def learned(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int =
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key and score (0 to 1) of every row's whole text; a null or empty text is one passage without words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in portions(batches, 1):
+        for part, texts in portions(batches, 1, chars=SLICE):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.score(texts), pa.float64())], [key, "score"])
 
     return docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, score double")

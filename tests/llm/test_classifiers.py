@@ -46,11 +46,55 @@ def test_passages():
 
 def test_gradient_of_the_attention():
     rng = np.random.default_rng(0)
-    model = quality.fit(["a b", "c D!! " * 200], [1, 0], epochs=1)
-    x, counts = quality.passages(["One two three. " * 60, "x y"])
-    g, kept = model.forward(x, counts)
-    assert g.shape == (2,) and np.allclose(np.add.reduceat(kept["a"], kept["at"]), 1)
-    del rng
+    texts = ["One two three. " * 60, "x y", "c D!! " * 200, "1 | 2"]
+    model = quality.fit(texts, [1, 0, 0, 1], epochs=2)
+    x, counts = quality.passages(texts)
+    y = np.array([1.0, 0.0, 0.0, 1.0])
+    _, kept = model.forward(x, counts)
+    assert np.allclose(np.add.reduceat(kept["a"], kept["at"]), 1)
+    _, grads = model.gradients(x, counts, y)
+    for part, grad in zip(model.parts, grads, strict=True):
+        for at in rng.choice(part.size, min(part.size, 12), replace=False):
+            place = np.unravel_index(at, part.shape)
+            before, found = part[place], []
+            for step in (1e-5, -1e-5):
+                part[place] = before + step
+                found.append(model.gradients(x, counts, y)[0])
+            part[place] = before
+            assert np.isclose((found[0] - found[1]) / 2e-5, grad[place], rtol=1e-4, atol=1e-8)
+
+
+def test_long_texts_in_slices(monkeypatch):
+    rng = random.Random(2)
+    texts = [" \n" + " ".join(rng.choice(["ab", "Cd.", "e#\n", "12", "ab"]) for _ in range(n)) for n in (0, 1, 64, 65, 1000, 1280, 3)] + ["x" * 3000, "y " * 700 + "z" * 2000 + " end"]
+    whole = quality.passages(texts)
+    monkeypatch.setattr(quality, "SLICE", 300)
+    sliced = quality.passages(texts)
+    assert (whole[1] == sliced[1]).all() and np.allclose(whole[0], sliced[0])
+
+
+@pytest.mark.parametrize("shift,clamped", [(2.0, False), (-6.0, True)])
+def test_slopes_of_the_non_negative_risk(shift, clamped):
+    rng = np.random.default_rng(1)
+    gp, gu, prior = rng.normal(2, 1, 7), rng.normal(shift, 1, 11), 0.4
+    loss = lambda g: np.logaddexp(0, -g).mean()
+    negative = lambda p, u: loss(-u) - prior * loss(-p)
+    assert (negative(gp, gu) < 0) == clamped
+    aim = (lambda p, u: -negative(p, u)) if clamped else (lambda p, u: prior * loss(p) + negative(p, u))
+    dp, du, told = toxicity.risk_slopes(gp, gu, prior)
+    assert told == clamped
+    for g, d, f in ((gp, dp, lambda x: aim(x, gu)), (gu, du, lambda x: aim(gp, x))):
+        for k in range(len(g)):
+            e = np.zeros(len(g))
+            e[k] = 1e-5
+            assert np.isclose((f(g + e) - f(g - e)) / 2e-5, d[k], atol=1e-8)
+
+
+@pytest.mark.parametrize("share", [0.05, 0.2, 0.5])
+def test_prior_from_positive_and_unlabelled_texts(share):
+    known, mixed = corpus(7, 400, 1.0), corpus(8, 3000, share)
+    found = toxicity.estimated_prior(*(toxicity._rows([t for t, _ in rows]) for rows in (known, mixed)))
+    assert abs(found - np.mean([y for _, y in mixed])) < 0.3 * share + 0.01
 
 
 def test_multiple_instances():
