@@ -20,10 +20,10 @@ from pyspark.sql import DataFrame
 from plansift.llm.html_pages import labelled_pages
 from plansift.llm.sampling import portions
 
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr del img picture source track area map".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr del img picture source track area map math semantics mrow mi mo mn ms mtext mspace mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle mpadded mphantom menclose merror".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their text is never shown as part of a page's text, or belongs to its head or to form fields.
-SILENT = frozenset("script style noscript template title textarea select iframe object svg math audio video canvas noframes head button option datalist".split())
+SILENT = frozenset("script style noscript template title textarea select iframe object svg audio video canvas noframes head button option datalist".split())
 RAW = frozenset("script style textarea title noscript iframe noframes".split())
 #: What an opening tag ends: the innermost open elements of these kinds, no further than the bound.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -38,7 +38,7 @@ HINT_AT = TEXT + 1
 SIZE_AT = HINT_AT + len(HINTS)
 LINK_AT = SIZE_AT + 12
 MORE_AT = LINK_AT + 2 * 6
-FEATURES = MORE_AT + 5
+FEATURES = MORE_AT + 6
 
 TOKEN = re.compile(r"<(?:!--(?:.*?-->|.*\Z)|[!?][^>]*(?:>|\Z)|(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|[^>]*+(?:>|\Z)))", re.S)
 NAMED = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -169,6 +169,7 @@ class Page:
             p = self.parent[k]
             chars[p] += chars[k]
             linked[p] += linked[k]
+        alone = sum(t is not None for t in self.texts) == 1
         for k, text in enumerate(self.texts):
             kind = int(text is None)
             more = self.features[k]
@@ -177,6 +178,8 @@ class Page:
             more.append(LINK_AT + 6 * kind + (min(5, -(-5 * linked[k] // chars[k])) if chars[k] else 0))
             if text is not None:
                 more.append(MORE_AT + (text[-1] in ".!?…。:;\"”»"))
+                if alone:
+                    more.append(MORE_AT + 5)
                 if "©" in text:
                     more.append(MORE_AT + 2)
                 if self.parent[k] and _tag_id.get("p") in self.features[self.parent[k]]:

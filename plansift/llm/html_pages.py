@@ -84,8 +84,14 @@ class Maker:
             self.element("p", self.sentences(self.rng.randrange(1, 8)) if self.rng.random() < 0.8 else self.words(self.rng.randrange(1, 5)), wanted, close=self.rng.random() < 0.9)
 
     def noise(self) -> None:
-        kind, rng = self.rng.randrange(14), self.rng
-        if kind == 0:
+        kind, rng = self.rng.randrange(17), self.rng
+        if kind == 14:
+            self.element("p", self.sentences(rng.randrange(1, 3)), False, self.named("newsletter", "subscribe", "signup", "notice", "ad", "sponsored", "share", "cookies", "login"))
+        elif kind == 15:
+            self.boxed("p", "", lambda: self.links(rng.randrange(3, 7), ""))
+        elif kind == 16:
+            self.boxed("table", rng.choice(["", self.named("menu", "nav")]), self.menu_rows)
+        elif kind == 0:
             self.boxed("div", self.named("ad", "ads", "advert", "banner", "sponsored", "promo"), lambda: self.text(self.sentences(rng.randrange(1, 4)), False))
         elif kind == 1:
             self.boxed(rng.choice(["aside", "div"]), self.named("sidebar", "widget", "side"), lambda: (self.element("h3", self.words(2), False), self.put("ul"), self.links(5), self.out.append("</ul>"), self.element("p", self.sentences(1), False)))
@@ -114,6 +120,19 @@ class Maker:
         else:
             self.out.append(f"<!-- {self.word()} {rng.randrange(99)} -->")
 
+    def menu_rows(self) -> None:
+        rows = self.rng.choice([1, 1, 4])
+        for _ in range(rows):
+            self.put("tr")
+            self.links(self.rng.randrange(2, 6) if rows == 1 else 1, "td")
+            self.out.append("</tr>")
+
+    def formula(self) -> None:
+        """A paragraph with a formula in it."""
+        parts = [self.sentences(1), "x", "=", self.word(), self.sentences(1)]
+        self.out.append(f"<p>{html.escape(parts[0], quote=False)} <math><mi>x</mi><mo>=</mo><mi>{parts[3]}</mi></math> {html.escape(parts[4], quote=False)}</p>")
+        self.wanted.append(f"{parts[0]} x={parts[3]} {parts[4]}")
+
     def comments(self) -> None:
         if self.rng.random() < 0.5:
             self.element("h3", self.words(2), False)
@@ -158,11 +177,54 @@ class Maker:
                 self.boxed("figure", "", lambda: (self.out.append('<img src="/i.png" alt="x">'), self.element("figcaption", self.sentences(1), True)))
             elif kind < 0.95:
                 self.boxed("div", "", lambda: self.paragraph(True))
-            elif inner:
+            elif inner and kind < 0.985:
                 self.noise()
+            else:
+                self.formula()
+
+    def bare(self) -> tuple[str, str]:
+        """A page of text alone, or of blocks without any frame."""
+        kind, rng = self.rng.randrange(3), self.rng
+        if kind == 0:
+            self.text(self.sentences(rng.randrange(1, 12)), True)
+        elif kind == 1:
+            self.out.append(rng.choice(["", "<html><body>", "<body>"]))
+            for _ in range(rng.randrange(1, 6)):
+                self.paragraph(True)
+                if self.out[-1] == "<br>":
+                    self.out.append("</b></p>")
+        else:
+            self.out.append(rng.choice(["<div>", "<div><div>", "<center>"]))
+            self.story(False)
+        return "".join(self.out), "\n".join(" ".join(w.split()) for w in self.wanted)
+
+    def in_table(self) -> tuple[str, str]:
+        """A page laid out by a table: a cell of links or boxes beside the cell of the article."""
+        rng = self.rng
+        self.out.append(f"<html><head><title>{self.words(3)}</title></head><body><table width=100%>")
+        if rng.random() < 0.6:
+            self.boxed("tr", "", lambda: self.boxed("td", rng.choice(["", "colspan=2", self.named("header", "masthead")]), lambda: self.links(rng.randrange(2, 7), "")))
+        self.put("tr")
+        sides = [False, True] if rng.random() < 0.7 else [True, False]
+        for article in sides:
+            self.put("td", rng.choice(["", "valign=top"]) if article else rng.choice(["", "width=150", self.named("menu", "sidebar", "nav")]))
+            if article:
+                self.story(rng.random() < 0.5)
+            elif rng.random() < 0.6:
+                self.links(rng.randrange(3, 9), rng.choice(["", "li", "div", "p"]))
+            else:
+                self.noise()
+            self.out.append("</td>")
+        self.out.append("</tr>")
+        if rng.random() < 0.6:
+            self.boxed("tr", "", lambda: self.boxed("td", rng.choice(["colspan=2", self.named("footer", "copyright")]), lambda: (self.out.append("&copy; "), self.text(self.words(3), False))))
+        self.out.append("</table></body></html>")
+        return "".join(self.out), "\n".join(" ".join(w.split()) for w in self.wanted)
 
     def page(self) -> tuple[str, str]:
         rng = self.rng
+        if (layout := rng.random()) < 0.14:
+            return self.bare() if layout < 0.07 else self.in_table()
         self.out.append(f"<!DOCTYPE html><html><head><meta charset=utf-8><title>{self.words(4)}</title><style>p{{margin:0}}</style></head><body>")
         if rng.random() < 0.7:
             self.boxed(rng.choice(["header", "div"]), self.named("header", "masthead"), lambda: (self.element(rng.choice(["h1", "div", "p"]), self.words(2), False), self.noise()))
@@ -173,7 +235,7 @@ class Maker:
             self.out.append(f"<{wrap}>")
         for _ in range(rng.randrange(0, 2)):
             self.noise()
-        tag, attrs = rng.choice([("article", ""), ("article", ""), ("article", 'class="post"'), ("main", ""), ("div", self.named("content", "article", "post", "entry", "story", "text")), ("section", self.named("content", "article")), ("div", 'role="main"'), ("div", 'itemprop="articleBody"')])
+        tag, attrs = rng.choice([("article", ""), ("article", ""), ("article", 'class="post"'), ("main", ""), ("div", self.named("content", "article", "post", "entry", "story", "text")), ("section", self.named("content", "article")), ("div", 'role="main"'), ("div", 'itemprop="articleBody"'), ("div", ""), ("main", "")])
         self.boxed(tag, attrs, lambda: self.story(True))
         for _ in range(rng.randrange(0, 3)):
             self.noise()

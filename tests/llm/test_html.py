@@ -55,6 +55,28 @@ def test_the_articles_of_the_pages_table(spark, sf_dir, model):
         assert r["text"] == "\n".join(b for b in blocks if b) and r["n_chars"] == len(r["text"]) and r["url"] == pages[r["page_id"]]["url"]
 
 
+STORY = "<h1>A walk by the river</h1><p>We left early, and the town was still asleep.</p><p>By noon the path had turned to sand.</p>"
+TOLD = "A walk by the river\nWe left early, and the town was still asleep.\nBy noon the path had turned to sand."
+MENU = "<ul><li><a href=/a>Home</a></li><li><a href=/b>About us</a></li><li><a href=/c>Shop</a></li></ul>"
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [  # written by hand, not by the maker of the training pages
+        ("Only words, and not a tag in sight. They make a short text all the same.", "Only words, and not a tag in sight. They make a short text all the same."),
+        (STORY, TOLD),
+        (f"<body><nav>{MENU}</nav><main>{STORY}<p class=newsletter>Get our letter every week.</p></main><footer>&copy; 2020 Someone</footer>", TOLD),
+        (f"<body><table><tr><td><a href=/>Home</a></td><td><a href=/n>News</a></td><td><a href=/k>Contact</a></td></tr></table><main>{STORY}</main><footer>&copy; Someone</footer>", TOLD),
+        (f"<body><div class=header><a href=/>Logo</a></div><div id=content>{STORY}</div><div id=sidebar>{MENU}</div><div class=footer>All rights reserved.</div>", TOLD),
+        (f"<body><main>{STORY}<section id=comments><h3>2 comments</h3><div class=comment><p>Nice story, thank you.</p></div></section></main>", TOLD),
+        (f"<body><article>{STORY}<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be it.</p></article>", TOLD + "\nLet x=2 be it."),
+        (f"<body><div class=cookie-banner><p>We use cookies on this site.</p><button>OK</button></div><article>{STORY}</article><aside><p>Read next</p></aside>", TOLD),
+    ],
+)
+def test_pages_of_other_kinds(model, page, want):
+    assert H.texts([page], model) == [want]
+
+
 def test_odd_pages(spark, model):
     art = lambda t: f"<body><nav><ul><li><a href=/a>Menu</a></ul></nav><article><h1>Head line</h1>{t}</article><footer>&copy; us</footer>"
     long = "<p>" + "One two three, four five. " * 20_000
