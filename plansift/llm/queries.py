@@ -82,7 +82,7 @@ ORACLE_SQL = {
         ), dsh AS (
             SELECT doc_id, k, m, p, array_to_string(w[p + 1:p + k], ' ') AS s FROM (SELECT *, unnest(range(0, m)) AS p FROM d)
         ), windows AS (
-            SELECT DISTINCT doc_id, item_id, k, ish.m AS im, least(ish.m, dsh.m) AS wm, greatest(0, least(p - q, dsh.m - ish.m)) AS start FROM dsh JOIN ish USING (k, s)
+            SELECT DISTINCT doc_id, item_id, k, ish.m AS im, least(ish.m, dsh.m) AS wm, greatest(0, least(p - o, dsh.m - ish.m)) AS start FROM dsh JOIN (SELECT *, unnest([q, 0, m - 1]) AS o FROM ish) AS ish USING (k, s)
         ), inside AS (
             SELECT doc_id, item_id, start, wm, im, s, count(*) AS n FROM windows JOIN dsh USING (doc_id, k) WHERE p >= start AND p < start + wm GROUP BY ALL
         ), wanted AS (
