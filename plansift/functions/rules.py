@@ -37,8 +37,8 @@ def drawing_type(text: Column) -> Column:
 
 def drawing_type_of_name(name: Column) -> Column:
     """PZT or PROFIL from a file's name, else null; plan words come first."""
-    low = F.lower(name)
-    return F.when(low.rlike(r"pzt|zagospodarowani|sytuacyjn"), "PZT").when(low.rlike("profil"), "PROFIL")
+    plain = F.upper(F.regexp_replace(F.element_at(F.split(name, r"[/\\\\]"), -1), r"\.[^.]*$", ""))
+    return F.when(plain.rlike("PZT|ZAGOSPODAROWANIA TERENU|PLAN SYTUACYJ"), "PZT").when(plain.rlike("PROFIL|PODŁUŻ|PODLUZ"), "PROFIL")
 
 
 def useful_page(text: Column, n_items: Column) -> Column:
@@ -46,10 +46,11 @@ def useful_page(text: Column, n_items: Column) -> Column:
 
 
 def primary_text(raw: Column, ordered: Column) -> Column:
-    """The stream with more candidates; at a tie the ordered one if it has 35 % of the raw one's length."""
+    """The stream with more candidates; at a tie the ordered one if it has 35 % of the raw one's length; a blank one never."""
     a, b = F.regexp_count(F.coalesce(raw, F.lit("")), F.lit(CANDIDATE)), F.regexp_count(F.coalesce(ordered, F.lit("")), F.lit(CANDIDATE))
     long_enough = F.length(F.coalesce(ordered, F.lit(""))) >= 0.35 * F.length(F.coalesce(raw, F.lit("")))
-    return F.when(b > a, ordered).when((a == b) & long_enough, ordered).otherwise(raw)
+    some = F.when(b > a, ordered).when((a == b) & long_enough, ordered).otherwise(raw)
+    return F.when(~filled(raw), F.coalesce(ordered, F.lit(""))).when(~filled(ordered), raw).otherwise(some)
 
 
 def likely_identifier(identifier: Column) -> Column:
@@ -137,6 +138,18 @@ def upgraded(conf: Column, n_sources: Column, percent: Column, issues: Column) -
     return F.when((n_sources >= 2) & (percent >= 70) & ~filled(issues), F.lit("wysoka")).otherwise(conf)
 
 
+def credible_anchor(identifier: Column, score: Column) -> Column:
+    """Whether a label that OCR read from a plan has enough evidence round it: D and S with a number least, then others, more with an
+    index, from 30 on and for SO."""
+    number = F.regexp_extract(identifier, r"^[DS](\d+)$", 1).try_cast("int")
+    needed = F.when(number >= 30, 4).when(number.isNotNull(), 1).when(identifier.rlike(r"^[DS]\d+[./-]\d+$"), 3).when(identifier == "SO", 4).otherwise(2)
+    return score >= needed
+
+
+def weak_candidate(is_ocr: Column, score: Column, ground: Column, diameter: Column, n_transitions: Column) -> Column:
+    return is_ocr & (score <= 1) & ground.isNull() & diameter.isNull() & (n_transitions == 0)
+
+
 def unsupported_ocr(identifier: Column, is_ocr: Column, has_evidence: Column) -> Column:
     n = F.regexp_extract(F.upper(F.coalesce(identifier, F.lit(""))), r"^(?:D|S)(\d+)$", 1).try_cast("int")
     return is_ocr & F.coalesce(n >= 80, F.lit(False)) & ~has_evidence

@@ -86,9 +86,9 @@ def folded(value: Column) -> Column:
 
 def ocr_token(token: Column) -> Column:
     """Dashes alike, a misread 1 after an identifier's letters, and misread PVC put right."""
-    t = F.translate(F.trim(token), "–—−", "---")
-    t = F.regexp_replace(t, r"(?i)^([DKSWP]{1,2})[Il|](?=\d|$)", "$11")
-    return F.regexp_replace(t, r"(?i)\bP[¥YV]C(?=\s*\d)|\bPVCI(?=\s*\d)", "PVC")
+    t = F.translate(F.trim(token), "–—", "--")
+    t = F.when(t.rlike(r"(?iu)^[DKSWP]{1,2}[Il|]\d"), F.regexp_replace(t, r"(?iu)([DKSWP]{1,2})[Il|](?=\d)", "$11")).otherwise(t)
+    return F.regexp_replace(t, r"(?iu)^P[¥YV]C(?=\d)|^PVCI(?=\d)", "PVC")
 
 
 def dedup_text(token: Column) -> Column:
@@ -96,29 +96,50 @@ def dedup_text(token: Column) -> Column:
 
 
 def sort_key(identifier: Column, sub: bool = True, width: int = 6) -> Column:
-    """Letters, the main number and (sub) the one after it plus 1, padded, so that text order is natural order; blank last."""
+    """Letters, the main number and (sub) the one after it plus 1, padded, so that text order is natural order; blank last.
+
+    A missing main number counts as the largest.
+    """
     plain = F.upper(F.trim(F.coalesce(identifier, F.lit(""))))
-    number = lambda c: F.lpad(F.coalesce(c.try_cast("long"), F.lit(0)).cast("string"), width, "0")
-    main = F.regexp_extract(plain, r"^[^\d]*(\d+)", 1)
-    after = F.regexp_extract(plain, r"^[^\d]*\d+[./-](\d+)", 1)
-    parts = [F.regexp_extract(plain, r"^([^\d]*)", 1), number(main)]
+    letters = F.regexp_extract(plain, r"^(\p{L}*)", 1)
+    rest = F.filter(F.split(F.substr(plain, F.length(letters) + 1), "[/.-]"), lambda c: c != "")
+    number = lambda k, other: F.coalesce(F.get(rest, F.lit(k)).try_cast("int"), F.lit(other))
+    parts = [letters, F.lpad(number(0, 10**width - 1).cast("string"), width, "0")]
     if sub:
-        parts.append(F.lpad(F.coalesce(after.try_cast("long") + 1, F.lit(0)).cast("string"), width, "0"))
+        parts += [F.lit("."), F.lpad((number(1, -1) + 1).cast("string"), width, "0")]
     return F.when(plain == "", F.lit("ZZZ" + "9" * width)).otherwise(F.concat(*parts))
 
 
+def shown_sort_key(identifier: Column) -> Column:
+    """The key of lists on screen: as sort_key for letters, number and one index; the text itself, upper-case, for anything else."""
+    plain = F.upper(F.trim(F.coalesce(identifier, F.lit(""))))
+    pattern = r"^([A-Z]+)(\d+)?(?:[./-](\d+))?$"
+    part = lambda g, other: F.coalesce(F.regexp_extract(plain, pattern, g).try_cast("int"), F.lit(other))
+    key = F.concat(F.regexp_extract(plain, pattern, 1), F.lpad(part(2, 999_999).cast("string"), 6, "0"), F.lit("."), F.lpad((part(3, -1) + 1).cast("string"), 6, "0"))
+    return F.when(plain == "", F.lit("ZZZ999999")).when(plain.rlike(pattern), key).otherwise(F.upper(identifier))
+
+
+def for_log(text: Column) -> Column:
+    return F.replace(F.coalesce(text, F.lit("")), F.lit("\0"), F.lit(""))
+
+
+def short_error(messages: Column, kind: Column, n: int = 240) -> Column:
+    """The innermost of nested messages (the last of an array), or the error's kind where it is blank, cut to n characters."""
+    last = F.trim(F.coalesce(F.try_element_at(messages, F.lit(-1)), F.lit("")))
+    return clipped(F.when(last == "", kind).otherwise(last), n)
+
+
 def basename(path: Column) -> Column:
     return F.element_at(F.split(path, r"[/\\]"), -1)
 
 
 def clipped(text: Column, n: int = 240) -> Column:
-    clean = F.replace(text, F.lit("\0"), F.lit(""))
-    return F.when(F.length(clean) > n, F.concat(F.substring(clean, 1, n), F.lit("…"))).otherwise(clean)
+    return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit("…"))).otherwise(text)
 
 
-def transitions_text(transitions: Column) -> Column:
-    """material DNd × quantity, by material and diameter, joined by ' | '."""
-    ordered = F.array_sort(transitions)
+def transitions_text(transitions: Column, ordered: bool = True) -> Column:
+    """material DNd × quantity, by material and diameter (or as they come), joined by ' | '."""
+    ordered = F.array_sort(transitions) if ordered else transitions
     return F.array_join(F.transform(ordered, lambda t: F.format_string("%s DN%d × %d", t["material"], t["diameter_mm"], t["quantity"])), " | ")
 
 

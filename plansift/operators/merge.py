@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plansift.functions import rules, text
+from plansift.operators.extract import summed
 
 # Tolerances of the merge.
 ELEVATION_TOLERANCE, HEIGHT_TOLERANCE, INVENTORY = 0.03, 0.05, 6
@@ -36,10 +37,54 @@ def inventory_gate(records: DataFrame, group: str = "project_id") -> DataFrame:
 
 
 def with_order(records: DataFrame, group: str, ordinal: str) -> DataFrame:
-    """_key (never blank: rows without one stay by themselves) and _ord, the order of sources."""
+    """_key (never blank: a row without an identifier stays by itself) and _ord, the order of sources: by drawing type, document, and
+    the place in the document (column place, where records have it), at last by all columns, so that no two rows are alike."""
+    own = F.xxhash64(*[F.col(c) for c in records.columns])
+    place = F.col("place") if "place" in records.columns else F.lit(0)
     key = text.key_of(F.col("identifier"))
-    own = F.when(key == "", F.concat(F.lit("\0"), F.col("drawing_type"), F.lit("\0"), F.col(ordinal).cast("string"))).otherwise(key)
-    return records.withColumn("_key", own).withColumn("_ord", F.struct(priority(F.col("drawing_type")).alias("p"), F.col(ordinal).alias("o")))
+    alone = F.concat_ws("\0", F.lit(""), F.col("drawing_type"), F.col(ordinal).cast("string"), place.cast("string"), own.cast("string"))
+    order = F.struct(priority(F.col("drawing_type")).alias("p"), F.col(ordinal).alias("o"), place.alias("at"), own.alias("row"))
+    return records.withColumn("_key", F.when(key == "", alone).otherwise(key)).withColumn("_ord", order)
+
+
+def page_groups(records: DataFrame, by: list[str], order: str) -> DataFrame:
+    """by, note (the joined raw texts) and rows (the values of `order`, ascending) of each record that a page's rows make.
+
+    A row joins the first record with its identifier, or whose notes so far are its raw text, whatever the case; else it is a new
+    one. So the fold goes over a page's rows in their order, with identifiers and notes alone.
+    """
+    one = F.struct(F.col(order).alias("at"), F.upper(F.trim(F.coalesce("identifier", F.lit("")))).alias("id"), F.trim(F.coalesce("raw_text", F.lit(""))).alias("raw"))
+    pages = records.groupBy(*by).agg(F.array_sort(F.collect_list(one)).alias("_l"))
+    at = records.schema[order].dataType.simpleString()
+    shape = f"array<struct<id:string,raw:string,rows:array<{at}>>>"
+
+    def step(acc: Column, r: Column) -> Column:
+        same = lambda m: ((r["id"] != "") & (m["id"] == r["id"])) | ((r["raw"] != "") & (F.upper(m["raw"]) == F.upper(r["raw"])))
+        place = F.array_position(F.transform(acc, same), True)
+        grown = lambda m: F.when(F.upper(m["raw"]) == F.upper(r["raw"]), m["raw"]).when(m["raw"] == "", r["raw"]).otherwise(F.concat(m["raw"], F.lit(" | "), r["raw"]))
+        joined = F.transform(acc, lambda m, i: F.when(i == place - 1, F.struct(m["id"].alias("id"), grown(m).alias("raw"), F.concat(m["rows"], F.array(r["at"])).alias("rows"))).otherwise(m))
+        return F.when(place > 0, joined.cast(shape)).otherwise(F.concat(acc, F.array(F.struct(r["id"].alias("id"), r["raw"].alias("raw"), F.array(r["at"]).alias("rows")))).cast(shape))
+
+    return pages.select(*by, F.explode(F.aggregate("_l", F.array().cast(shape), step)).alias("g")).select(*by, F.col("g.raw").alias("note"), F.col("g.rows").alias("rows"))
+
+
+def page_merged(records: DataFrame, by: list[str], order: str = "place") -> DataFrame:
+    """One row per record of a page (see page_groups): what is set first wins, diameters and heights only if positive; the best
+    confidence; transitions (arrays) added up; raw texts joined. order: a column without ties on a page, which stays."""
+    groups = page_groups(records, by, order).select(*by, "note", F.element_at("rows", 1).alias("_first"), F.explode("rows").alias(order))
+    rows = records.join(groups, [*by, order])
+    set_ = lambda c, when: F.min_by(c, F.when(when, F.col(order))).alias(c)
+    plain = {"type": rules.filled(F.col("type")), "crown": rules.filled(F.col("crown")), "ground_m": F.col("ground_m").isNotNull(), "invert_m": F.col("invert_m").isNotNull()}
+    # the first row's own values stay even where they aren't positive
+    own = F.col(order) == F.col("_first")
+    positive = {c: F.col(c).isNotNull() & (own | (F.col(c) > 0)) for c in ("diameter_mm", "height_m")}
+    rank = F.struct(-rules.confidence_rank(F.col("confidence")), F.col(order))
+    rest = [c for c in records.columns if c not in (*by, order, *plain, *positive, "confidence", "transitions", "raw_text")]
+    out = rows.groupBy(*by, "_first").agg(
+        *[F.min_by(c, order).alias(c) for c in rest], *[set_(c, w) for c, w in {**plain, **positive}.items()],
+        F.min_by("confidence", rank).alias("confidence"), F.min("note").alias("raw_text"), F.flatten(F.collect_list("transitions")).alias("transitions"),
+    )
+    return out.withColumn("transitions", summed("transitions")).withColumnRenamed("_first", order).select(records.columns)
 
 
 def running(records: DataFrame, group: str = "project_id", ordinal: str = "ordinal") -> DataFrame:
@@ -83,6 +128,17 @@ def distinct_ci(names: Column) -> Column:
     return F.filter(some, lambda s, i: F.array_position(F.transform(some, F.lower), F.lower(s)) == i + 1)
 
 
+def first_notes(rows: DataFrame, by: list[str]) -> DataFrame:
+    """by, raw_text (joined, see appended) and source_documents: of equal texts, whatever the case, the first alone is gathered.
+
+    rows are dealt by `by` already, so neither aggregate moves them.
+    """
+    each = rows.select(*by, "_ord", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).alias("v")) for k, c in enumerate(("raw_text", "source_document"))])).alias("n"))
+    each = each.where(F.col("n.v").isNotNull()).groupBy(*by, F.col("n.k").alias("_kind"), F.lower("n.v").alias("_low")).agg(F.min(F.struct("_ord", F.col("n.v").alias("v"))).alias("f"))
+    listed = lambda k: F.transform(F.array_sort(F.collect_list(F.when(F.col("_kind") == k, F.col("f")))), lambda s: s["v"])
+    return each.groupBy(*by).agg(appended(listed(0), " | ").alias("raw_text"), distinct_ci(listed(1)).alias("source_documents"))
+
+
 def merged_records(records: DataFrame, group: str = "project_id", ordinal: str = "ordinal") -> DataFrame:
     """One row per object of a project, with completeness and confidence. Columns of records: see model.RECORD."""
     rows = running(records, group, ordinal)
@@ -100,13 +156,12 @@ def merged_records(records: DataFrame, group: str = "project_id", ordinal: str =
         F.coalesce(last_pair(F.col("ground_m")), first(F.col("ground_m"))).alias("ground_m"),
         F.coalesce(last_pair(F.col("invert_m")), first(F.col("invert_m"))).alias("invert_m"),
         F.coalesce(last_pair(F.col("_pair_height")), first(F.col("height_m"))).alias("height_m"),
-        appended(F.flatten(in_order(F.col("_issues"))), "; ").alias("_found"),
+        appended(F.flatten(F.filter(in_order(F.when(F.size("_issues") > 0, F.col("_issues"))), lambda x: x.isNotNull())), "; ").alias("_found"),
         F.min_by("validation_issues", "_ord").alias("_known"),
         best.alias("confidence"),
-        appended(in_order(F.col("raw_text")), " | ").alias("raw_text"),
-        distinct_ci(in_order(F.col("source_document"))).alias("source_documents"),
         F.max("n_transitions").alias("n_transitions"),
     )
+    out = out.join(first_notes(rows, [group, "_key"]), [group, "_key"])
     issues = appended(F.array(F.coalesce("_known", F.lit("")), F.col("_found")), "; ")
     out = out.withColumn("validation_issues", issues)
     out = out.withColumn("confidence", F.when((F.col("n_records") > 1) & (F.col("validation_issues") != ""), F.lit("niska")).otherwise(F.col("confidence")))
@@ -128,8 +183,9 @@ def merged_transitions(transitions: DataFrame, by: list[str], how: str = "max")
 def merged_inlets(inlets: DataFrame, group: str = "project_id", ordinal: str = "ordinal") -> DataFrame:
     """One row per inlet identifier (WP in front), best confidence, sources in order; blank identifiers are one."""
     rows = inlets.withColumns({"identifier": text.inlet_key(F.col("identifier")), "_ord": F.struct(priority(F.col("drawing_type")).alias("p"), F.col(ordinal).alias("o"))})
-    rank = F.struct(rules.confidence_rank(F.col("confidence")), (-F.col("_ord.p")).alias("p"), (-F.col("_ord.o")).alias("o"))
-    return rows.groupBy(group, "identifier").agg(F.max_by("confidence", rank).alias("confidence"), appended(in_order(F.col("raw_text")), " | ").alias("raw_text"), distinct_ci(in_order(F.col("source_document"))).alias("source_documents"))
+    rank = F.struct(-rules.confidence_rank(F.col("confidence")), "_ord")
+    by = [group, "identifier"]
+    return rows.groupBy(*by).agg(F.min_by("confidence", rank).alias("confidence")).join(first_notes(rows, by), by)
 
 
 def distinct_pipes(pipes: DataFrame, group: str = "project_id", ordinal: str = "ordinal") -> DataFrame:

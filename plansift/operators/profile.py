@@ -165,6 +165,42 @@ def with_tolerance(anchors: DataFrame, share: float = 0.36, low: float = 15.0, h
     return anchors.join(gaps.select(*PAGE, tolerance.alias("tolerance")), PAGE)
 
 
+def column_levels(anchors: DataFrame, words: DataFrame) -> DataFrame:
+    """page, idx, ground_m, invert_m: the pair of rows of levels that most columns meet .35 to 8 m apart, the best aligned at a tie.
+
+    Pages of two anchors and four levels at least; a column reaches .34 of the gap between anchors. Which of a column's two levels is
+    ground is told by their values alone.
+    """
+    some = anchors.join(anchors.groupBy(*PAGE).agg(F.count("*").alias("_anchors")).where("_anchors >= 2"), PAGE)
+    lev = plain_numbers(words, r"^\d{2,3}[,.]\d{2}$", 20, 250)
+    lev = lev.join(lev.groupBy(*PAGE).agg((F.count("*") >= 4).alias("_four")).where("_four").drop("_four"), PAGE)
+    rows = in_bands(lev, low=4.1, high=14.1)
+    least = some.groupBy(*PAGE).agg(F.greatest(F.lit(2), F.least(F.lit(5), F.floor(F.count("*") / 4))).alias("_least"))
+    full = rows.groupBy(*PAGE, "band").agg(F.count("*").alias("_size")).join(least, PAGE).where(F.col("_size") >= F.col("_least")).select(*PAGE, "band")
+    tolerance = gap_tolerance(some, "x").select(*PAGE, "tolerance")
+    at = in_columns(some.join(tolerance, PAGE), rows.join(full, [*PAGE, "band"]))
+    other = at.select(*PAGE, "idx", F.col("band").alias("_band"), F.col("value").alias("_value"), F.col("dx").alias("_dx"))
+    pairs = at.join(other, [*PAGE, "idx"]).where((F.col("band") < F.col("_band")) & F.abs(F.col("value") - F.col("_value")).between(0.35, 8.0))
+    sums = pairs.groupBy(*PAGE, "band", "_band").agg(F.count("*").alias("hits"), F.sum(F.col("dx") + F.col("_dx")).alias("off")).where("hits >= 2")
+    best = sums.withColumn("_n", F.row_number().over(Window.partitionBy(*PAGE).orderBy(F.desc("hits"), "off", "band", "_band"))).where("_n = 1").select(*PAGE, "band", "_band")
+    return pairs.join(best, [*PAGE, "band", "_band"]).select(*PAGE, "idx", F.greatest("value", "_value").alias("ground_m"), F.least("value", "_value").alias("invert_m"))
+
+
+def column_diameters(anchors: DataFrame, words: DataFrame) -> DataFrame:
+    """page, idx, diameter_mm: the row of diameters that most columns meet, if enough do: a third of them, three at least, six at most."""
+    some = anchors.join(anchors.groupBy(*PAGE).agg(F.count("*").alias("_anchors")).where("_anchors >= 2"), PAGE)
+    points = diameters(words)
+    points = points.join(points.groupBy(*PAGE).agg((F.count("*") >= 2).alias("_two")).where("_two").drop("_two"), PAGE)
+    rows = in_bands(points, share=1.0, low=5.0, high=16.0)
+    sizes = rows.groupBy(*PAGE, "band").agg(F.count("*").alias("_size"))
+    at = in_columns(some.join(gap_tolerance(some, "x").select(*PAGE, "tolerance"), PAGE), rows)
+    n = some.groupBy(*PAGE).agg(F.count("*").alias("_n"))
+    hits = at.groupBy(*PAGE, "band").agg(F.count("*").alias("hits")).join(sizes, [*PAGE, "band"]).join(n, PAGE)
+    best = hits.withColumn("_r", F.row_number().over(Window.partitionBy(*PAGE).orderBy(F.desc("hits"), F.desc("_size"), "band"))).where(F.col("_r") == 1)
+    best = best.where(F.col("hits") >= enough(F.col("_n"), 3, 6)).select(*PAGE, "band")
+    return at.join(best, [*PAGE, "band"]).select(*PAGE, "idx", F.rint("value").cast("int").alias("diameter_mm"))
+
+
 def enough(n: Column, least: int, most: int) -> Column:
     return F.greatest(F.lit(least), F.least(F.lit(most), F.floor(n / 3)))
 
@@ -211,7 +247,7 @@ def node_diameters(anchors: DataFrame, words: DataFrame) -> DataFrame:
     metres = F.replace(F.regexp_extract(t, r"(?i)^([0123][,.]\d{1,2})m?$", 1), F.lit(","), F.lit(".")).try_cast("double")
     mm = F.coalesce(F.regexp_extract(t, STANDARD, 1).try_cast("int"), rules.snapped(metres * 1000, 50).cast("int"))
     near = centred(words).withColumn("_mm", mm).where(rules.plausible_manhole_diameter(F.col("_mm"))).select(*PAGE, "_mm", "cx")
-    free = anchors.join(found.select(*PAGE, "idx"), [*PAGE, "idx"], "left_anti")
+    free = anchors.join(n.where("_anchors >= 2").select(*PAGE), PAGE, "left_semi").join(found.select(*PAGE, "idx"), [*PAGE, "idx"], "left_anti")
     votes = free.join(near, PAGE).where(F.abs(F.col("cx") - F.col("x")) <= F.greatest(F.lit(28.0), F.col("tolerance"))).groupBy(*PAGE, "idx", "_mm").agg(F.count("*").alias("_c"))
     order = Window.partitionBy(*PAGE, "idx").orderBy(F.desc("_c"), F.abs(F.col("_mm") - 1200), "_mm")
     rescued = votes.withColumn("_n", F.row_number().over(order)).where("_n = 1").select(*PAGE, "idx", F.col("_mm").alias("diameter_mm"))

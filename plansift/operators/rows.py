@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import statistics
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from plansift.functions import rules
 
@@ -94,77 +97,145 @@ def dominant(values: DataFrame, by: list[str], value: str, toward: int = 1200) -
     return counts.withColumns({"_n": F.row_number().over(w), "share": F.col("n") / F.sum("n").over(group)}).where("_n = 1").drop("_n")
 
 
-def per_page(df: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame], schema: str, by: list[str] = PAGE) -> DataFrame:
-    """A fold that depends on order, page by page (pages are small)."""
-    return df.groupBy(*by).applyInPandas(function, schema)
+def per_page(df: DataFrame, fold: Callable[[list[dict]], Iterator[tuple]], schema: str, by: list[str] = PAGE, order: list[str] | None = None) -> DataFrame:
+    """A fold that depends on order, page by page, of as many pages as an Arrow batch holds: the rows of a page come together, sorted
+    by `order`, as dictionaries; a page that goes on in the next batch waits for it."""
+    sorted_ = df.repartition(*by).sortWithinPartitions(*by, *(order or []))
+    shape = to_arrow_schema(_parse_datatype_string(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def folded(rows: list[dict]) -> Iterator[tuple]:
+            at = 0
+            while at < len(rows):
+                end, own = at, tuple(rows[at][c] for c in by)
+                while end < len(rows) and tuple(rows[end][c] for c in by) == own:
+                    end += 1
+                for out in fold(rows[at:end]):
+                    yield own + out
+                at = end
+
+        def batch_of(rows: list[dict]) -> pa.RecordBatch:
+            found = list(folded(rows))
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], shape.field(k).type) for k in range(len(shape))], schema=shape)
+
+        open_: list[dict] = []
+        for batch in batches:
+            rows = open_ + batch.to_pylist()
+            if not rows:
+                continue
+            last = tuple(rows[-1][c] for c in by)
+            cut = len(rows)
+            while cut and tuple(rows[cut - 1][c] for c in by) == last:
+                cut -= 1
+            open_ = rows[cut:]
+            if cut:
+                yield batch_of(rows[:cut])
+        if open_:
+            yield batch_of(open_)
+
+    return sorted_.mapInArrow(run, schema)
 
 
-def greedy_matches(edges: DataFrame, most: float = 260.0, by: list[str] = PAGE) -> DataFrame:
-    """One-to-one matches of anchors and pairs of numbers: edges by cost, each taken if neither its anchor nor a number is in use.
+def greedy_matches(edges: DataFrame, most: float | None = None, by: list[str] = PAGE, order: list[str] | None = None) -> DataFrame:
+    """One-to-one matches of anchors and pairs of numbers: edges in order, each taken if neither its anchor nor a number is in use.
 
-    edges: by, anchor (long), a, b (long, ids of numbers), cost; edges above `most` don't count.
+    edges: by, anchor, a, b (ids of numbers), cost and the columns of order (by cost, if not given). Edges above `most` don't count.
+    Returns by, anchor, a, b, cost.
     """
-    shape = ", ".join(f"{c} {edges.schema[c].dataType.simpleString()}" for c in by) + ", anchor long, a long, b long, cost double"
+    order = order or ["cost", "anchor", "a", "b"]
+    some = edges if most is None else edges.where(F.col("cost") <= most)
+    one = F.struct(*[F.col(c).cast("double").alias(f"o{k}") for k, c in enumerate(order)], *[F.col(c).cast("long").alias(c) for c in ("anchor", "a", "b")], F.col("cost").cast("double").alias("cost"))
+    pages = some.groupBy(*by).agg(F.sort_array(F.collect_list(one)).alias("e"))
+    kept = "array<struct<anchor:bigint,a:bigint,b:bigint,cost:double>>"
+    none = F.array().cast("array<bigint>")
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        anchors, numbers, kept = set(), set(), []
-        for r in frame.sort_values(["cost", "anchor", "a", "b"], kind="stable").itertuples():
-            if r.anchor not in anchors and r.a not in numbers and r.b not in numbers:
-                anchors.add(r.anchor)
-                numbers.update((r.a, r.b))
-                kept.append(r.Index)
-        return frame.loc[kept, [*by, "anchor", "a", "b", "cost"]]
+    def step(acc: Column, e: Column) -> Column:
+        free = ~F.array_contains(acc["anchors"], e["anchor"]) & ~F.array_contains(acc["numbers"], e["a"]) & ~F.array_contains(acc["numbers"], e["b"])
+        taken = F.struct(F.concat(acc["anchors"], F.array(e["anchor"])).alias("anchors"), F.concat(acc["numbers"], F.array(e["a"], e["b"])).alias("numbers"), F.concat(acc["kept"], F.array(F.struct(e["anchor"], e["a"], e["b"], e["cost"]))).alias("kept"))
+        return F.when(free, taken).otherwise(acc)
 
-    return per_page(edges.where(F.col("cost") <= most).select(*by, "anchor", "a", "b", F.col("cost").cast("double").alias("cost")), fold, shape, by)
+    start = F.struct(none.alias("anchors"), none.alias("numbers"), F.array().cast(kept).alias("kept"))
+    return pages.select(*by, F.explode(F.aggregate("e", start, step, lambda acc: acc["kept"])).alias("m")).select(*by, "m.anchor", "m.a", "m.b", "m.cost")
 
 
 def without_repeats(words: DataFrame, important: str = "important", by: list[str] = PAGE) -> DataFrame:
-    """Words read twice by OCR, once: best first, a word goes if a kept one of the same text lies within a share of its box."""
-    shape = words.schema
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        kept: dict[str, list] = {}
-        index = []
-        for r in frame.sort_values([important, "confidence", "idx"], ascending=[False, False, True], kind="stable").itertuples():
-            cx, cy = r.x + r.w / 2, r.y + r.h / 2
-            rivals = kept.setdefault(r.key, [])
-            if any(abs(cx - a) <= max(16, 0.55 * r.w) and abs(cy - b) <= max(12, 0.75 * r.h) for a, b in rivals):
-                continue
-            rivals.append((cx, cy))
-            index.append(r.Index)
-        return frame.loc[index].sort_values(["y", "x", "idx"], kind="stable")
+    """Words read twice by OCR, once: best first, a word goes if a kept one of the same text lies within a share of its box.
 
-    return per_page(words, fold, shape, by)
+    Only words of one text can be repeats of each other, so the fold runs over a page's words of a text (column key), not over the page.
+    """
+    rows = words.withColumns({"_cx": F.col("x") + F.col("w") / 2, "_cy": F.col("y") + F.col("h") / 2})
+    one = F.struct((~F.col(important)).alias("o0"), (-F.col("confidence")).alias("o1"), F.col("idx").cast("long").alias("at"), *[F.col(c).cast("double").alias(c.strip("_")) for c in ("_cx", "_cy", "w", "h")])
+    groups = rows.groupBy(*by, "key").agg(F.sort_array(F.collect_list(one)).alias("l"))
+    near = lambda k, e: (F.abs(k["cx"] - e["cx"]) <= F.greatest(F.lit(16.0), 0.55 * e["w"])) & (F.abs(k["cy"] - e["cy"]) <= F.greatest(F.lit(12.0), 0.75 * e["h"]))
+    step = lambda acc, e: F.when(F.exists(acc, lambda k: near(k, e)), acc).otherwise(F.concat(acc, F.array(F.struct(e["at"].alias("at"), e["cx"].alias("cx"), e["cy"].alias("cy")))))
+    alone = F.aggregate("l", F.array().cast("array<struct<at:bigint,cx:double,cy:double>>"), step)
+    ids = groups.select(*by, F.explode(alone).alias("k")).select(*by, F.col("k.at").alias("idx"))
+    return words.join(ids, [*by, "idx"], "left_semi")
 
 
 def reading_order(words: DataFrame, share: float = 0.8, least: float = 3.0, by: list[str] = PAGE) -> DataFrame:
-    """by and text: words by Y put on the first line whose mean middle is within tolerance, lines by their middles, words by X."""
-    shape = ", ".join(f"{c} {words.schema[c].dataType.simpleString()}" for c in by) + ", text string"
+    """by and text: words by Y put on the first line whose mean middle is within tolerance, lines by their mean Y, words by X.
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        heights = frame["h"][frame["h"] > 0]
-        tolerance = max(least, share * (heights.median() if len(heights) else 1.0))
+    The tolerance is a share of the median height (heights below 1 count as 1). For OCR: share 1.1, least 8.
+    """
+    kinds = ", ".join(f"{c} {words.schema[c].dataType.simpleString()}" for c in by)
+
+    def fold(rows: list[dict]) -> Iterator[tuple]:
+        tolerance = max(least, share * statistics.median(max(1.0, r["h"]) for r in rows))
         lines: list[list] = []
-        for r in frame.sort_values(["y", "x", "idx"], kind="stable").itertuples():
-            middle = r.y + r.h / 2
+        for r in rows:
+            middle = r["y"] + r["h"] / 2
             for line in lines:
-                if abs(line[0] - middle) <= tolerance:
-                    line[0] = (line[0] * len(line[1]) + middle) / (len(line[1]) + 1)
-                    line[1].append(r)
+                if abs(line[0] / line[1] - middle) <= tolerance:
                     break
             else:
-                lines.append([middle, [r]])
-        lines.sort(key=lambda line: line[0])
-        out = "\n".join(" ".join(r.text for r in sorted(line[1], key=lambda r: (r.x, r.idx))) for line in lines)
-        return pd.DataFrame({c: [frame[c].iloc[0]] for c in by} | {"text": [out]})
+                lines.append(line := [0.0, 0, 0.0, []])
+            line[0], line[1], line[2] = line[0] + middle, line[1] + 1, line[2] + r["y"]
+            line[3].append((r["x"], r["y"], r["idx"], r["text"]))
+        lines.sort(key=lambda line: line[2] / line[1])
+        yield ("\n".join(" ".join(w[3] for w in sorted(line[3], key=lambda w: w[:3])) for line in lines),)
+
+    return per_page(words.select(*by, "idx", "text", "x", "y", "h"), fold, f"{kinds}, text string", by, ["y", "x", "idx"])
+
 
-    return per_page(words, fold, shape, by)
+def true_median(values: Column) -> Column:
+    """The median with the mean of the two middle values; 1 of nothing."""
+    return F.coalesce(F.median(values), F.lit(1.0))
+
+
+BLANK = r"(?U)^[\s\p{Cntrl}]*$"
+
+
+def page_words(glyphs: DataFrame, by: list[str] = PAGE) -> DataFrame:
+    """chars_to_words where that gives a page three words or more, all short; else words by geometry."""
+    plain = chars_to_words(glyphs, by)
+    fine = plain.groupBy(*by).agg(((F.count("*") >= 3) & (F.max(F.length("text")) < 120)).alias("_fine")).where("_fine").select(*by)
+    return plain.join(fine, by, "left_semi").unionByName(spatial_words(glyphs.join(fine, by, "left_anti"), by))
+
+
+def spatial_words(glyphs: DataFrame, by: list[str] = PAGE) -> DataFrame:
+    """Words of a page's characters by where they stand: lines are clusters of the middles, a word ends at a gap of over 1.35 widths.
+
+    Boxes have their top at the smaller value, as pages rendered from the upper edge have. Fixed values: tolerances.
+    """
+    rows = glyphs.where(~F.col("char").rlike(BLANK)).withColumns({"_cy": (F.col("top") + F.col("bottom")) / 2, "_h": F.greatest(F.lit(1.0), (F.col("bottom") - F.col("top")).cast("double")), "_w": F.greatest(F.lit(1.0), (F.col("right") - F.col("left")).cast("double"))})
+    groups = rows.groupBy(*by).agg(F.collect_list(F.col("_cy").cast("double")).alias("_ys"), F.greatest(F.lit(3.0), 0.65 * true_median(F.col("_h"))).alias("_t"))
+    lines = groups.select(*by, F.posexplode(clusters(F.col("_ys"), F.col("_t"))).alias("_line", "c")).select(*by, "_line", F.array_min("c.members").alias("_low"), F.array_max("c.members").alias("_high"))
+    rows = rows.join(lines, by).where((F.col("_cy") >= F.col("_low")) & (F.col("_cy") <= F.col("_high")))
+    line = Window.partitionBy(*by, "_line")
+    row = line.orderBy("left", "idx")
+    wide = F.greatest(F.lit(4.1), 1.35 * F.median("_w").over(line))
+    rows = rows.withColumns({"_limit": wide, "_gap": F.col("left") - F.lag("right").over(row)})
+    rows = rows.withColumn("_word", F.sum(F.when(F.col("_gap") > F.col("_limit"), 1).otherwise(0)).over(row))
+    spelled = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("left", "idx", "char"))), lambda s: s["char"]), "")
+    words = rows.groupBy(*by, "_line", "_word").agg(spelled.alias("text"), F.min("left").alias("x"), F.min("top").alias("y"), (F.max("right") - F.min("left")).alias("w"), (F.max("bottom") - F.min("top")).alias("h"))
+    return words.withColumn("idx", F.row_number().over(Window.partitionBy(*by).orderBy("_line", "_word")) - 1).drop("_line", "_word")
 
 
 def chars_to_words(glyphs: DataFrame, by: list[str] = PAGE) -> DataFrame:
     """Words of a page's characters in content order: white space ends one; boxes are the characters' bounds."""
     w = Window.partitionBy(*by).orderBy("idx")
-    blank = F.col("char").rlike(r"(?U)^[\s\p{Cntrl}]*$")
+    blank = F.col("char").rlike(BLANK)
     rows = glyphs.withColumn("_word", F.sum(blank.cast("int")).over(w)).where(~blank)
-    words = rows.groupBy(*by, "_word").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "char"))), lambda s: s["char"]), "").alias("text"), F.min("left").alias("x"), F.max("top").alias("y"), (F.max("right") - F.min("left")).alias("w"), (F.max("top") - F.min("bottom")).alias("h"))
+    words = rows.groupBy(*by, "_word").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "char"))), lambda s: s["char"]), "").alias("text"), F.min("left").alias("x"), F.min("top").alias("y"), (F.max("right") - F.min("left")).alias("w"), (F.max("bottom") - F.min("top")).alias("h"))
     return words.withColumn("idx", F.row_number().over(Window.partitionBy(*by).orderBy("_word")) - 1).drop("_word")

@@ -72,3 +72,39 @@ def drawn_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = c.selectExpr("c_custkey", f"concat(flatten(transform(sequence(1, 4), k -> array({', '.join(columns)}))), array({', '.join(loose)})) AS b")
     rows = rows.select("c_custkey", F.posexplode("b").alias("idx", "b"))
     return rows.selectExpr("cast(c_custkey % 10 AS string) AS doc_id", "cast(c_custkey AS int) AS page_no", "idx", "b.text", "b.x", "b.y", "b.w", "b.h")
+
+
+def noted_pages(spark: SparkSession, sf_dir: str, *texts: str, engine: str = "vector") -> DataFrame:
+    """orders as pages whose text is one of the given SQL expressions of the order's columns, in turn by its key; with n, its number."""
+    pick = " ".join(f"WHEN {k} THEN {t}" for k, t in enumerate(texts))
+    return table(spark, sf_dir, "orders").selectExpr(
+        "cast(o_custkey AS string) AS doc_id", "cast(o_orderkey AS int) AS page_no", f"CASE o_orderkey % {len(texts)} {pick} END AS text", "cast(NULL AS string) AS raw_text", "cast(NULL AS string) AS ordered_text", f"'{engine}' AS engine",
+    )
+
+
+def sheets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """customer as whole drawings, in turn by key: a plan with a split and a whole label, a profile with depths, one without, and a page
+    read by OCR with a label and a lone number. Pages and words."""
+    c = table(spark, sf_dir, "customer").selectExpr("c_custkey AS c", "cast(c_custkey AS string) AS doc_id", "cast(c_custkey AS int) AS page_no", "c_custkey % 4 AS kind", "100 + c_custkey % 30 AS g")
+    names = "CASE kind WHEN 0 THEN '[[DRAWING:PZT]]' WHEN 3 THEN 'S95' ELSE '[[DRAWING:PROFIL]] RZĘDNE DNA PRZEWODU' END"
+    pages_ = c.selectExpr("doc_id", "page_no", f"{names} AS text", "cast(NULL AS string) AS raw_text", "cast(NULL AS string) AS ordered_text", "CASE kind WHEN 3 THEN 'OCR/engine' ELSE 'vector' END AS engine")
+    box = lambda text, x, y, w="28D", h="10D": f"named_struct('text', {text}, 'x', {x}, 'y', {y}, 'w', {w}, 'h', {h})"
+    level = lambda v: f"replace(format_string('%.2f', cast({v} AS double)), '.', ',')"
+    plan = [box("'D'", "100D", "100D", "8D"), box("cast(c % 9 + 1 AS string)", "109D", "100D", "12D"), box(level("g + 0.55"), "92D", "126D", "44D"), box(level("g - 1.5"), "92D", "146D", "44D"),
+            box("concat('KD', c % 8 + 1)", "600D", "100D", "24D"), box(level("g + 0.25"), "590D", "126D", "44D"), box(level("g - 3"), "590D", "146D", "44D"), box("'PVC160'", "600D", "170D", "40D")]
+    column = lambda name: [box(f"concat('{name}', k)", "95D + 100 * k", "500D", "10D"), box(level("g - 0.25 * k"), "90D + 100 * k", "320D"), box(level("g - 0.25 * k - 1 - 0.25 * (k % 3)"), "90D + 100 * k", "270D")]
+    deep = [*column("KD"), box(level("1 + 0.25 * (k % 3)"), "90D + 100 * k", "200D"), box("'DN1200'", "90D + 100 * k", "150D")]
+    noise = [box("concat('S', 30 + c % 50)", "1300D", "900D", "20D"), box("'25,50'", "1500D", "40D")]
+    read = [box("concat('S0', c % 8 + 1)", "100D", "100D", "20D"), box(level("g + 0.85"), "105D", "120D", "30D"), box(level("g - 0.5"), "105D", "138D", "30D"), box("'S95'", "900D", "900D", "20D")]
+    columns = lambda parts: f"flatten(transform(sequence(1, 4), k -> array({', '.join(parts)})))"
+    boxes = f"CASE kind WHEN 0 THEN array({', '.join(plan)}) WHEN 1 THEN {columns(deep)} WHEN 2 THEN concat({columns(column('D'))}, array({', '.join(noise)})) ELSE array({', '.join(read)}) END"
+    words_ = c.selectExpr("doc_id", "page_no", f"{boxes} AS b").select("doc_id", "page_no", F.posexplode("b").alias("idx", "b"))
+    return pages_, words_.selectExpr("doc_id", "page_no", "idx", "b.text", "b.x", "b.y", "b.w", "b.h")
+
+
+def glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """part as pages of single characters: names with blanks between the words, or, for every second part, with gaps alone."""
+    rows = table(spark, sf_dir, "part").selectExpr("cast(p_partkey % 10 AS string) AS doc_id", "cast(p_partkey AS int) AS page_no", "concat_ws(' ', p_name, p_brand, p_type) AS t")
+    rows = rows.select("doc_id", "page_no", F.posexplode(F.split("t", "")).alias("idx", "char")).where("char <> ''")
+    rows = rows.selectExpr("*", "cast(idx * 6 AS int) AS left", "cast(idx * 6 + 5 AS int) AS right", "cast(100 + idx % 2 AS int) AS top", "cast(110 + idx % 2 AS int) AS bottom")
+    return rows.where("page_no % 2 = 0 OR char <> ' '")

@@ -1,6 +1,7 @@
 """Merging of drawings: small sets with the results known."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from plansift import model
 from plansift.operators import merge
@@ -59,6 +60,37 @@ def test_blank_identifiers_never_merge(spark):
     assert merge.merged_records(df).count() == 3
 
 
+def test_blank_identifiers_of_one_document_never_merge(spark):
+    df = spark.createDataFrame([{**BASE, "ordinal": 4, "diameter_mm": dn} for dn in (1000, 1200, 1200)], model.RECORD).withColumn("place", F.monotonically_increasing_id())
+    assert sorted((r["diameter_mm"], r["validation_issues"]) for r in merge.merged_records(df).collect()) == [(1000, ""), (1200, ""), (1200, "")]
+
+
+def test_the_first_page_of_a_document_is_kept_and_said_to_be(spark):
+    for dns in ((1000, 1500), (1500, 1000)):
+        df = spark.createDataFrame([{**BASE, "ordinal": 4, "identifier": "D1", "page": k, "diameter_mm": dn} for k, dn in enumerate(dns, 1)], model.RECORD).withColumn("place", F.col("page"))
+        r = merge.merged_records(df).first()
+        assert (r["diameter_mm"], r["validation_issues"]) == (dns[0], f"sprzeczne DN: {dns[0]} / {dns[1]}")
+
+
+def test_rows_of_one_page(spark):
+    shape = "doc_id string, page_no int, place int, identifier string, raw_text string, type string, diameter_mm int, ground_m double, invert_m double, height_m double, crown string, confidence string, transitions array<struct<material:string,diameter_mm:int,quantity:int>>"
+    rows = [
+        ("d", 1, 1, "D1", "D 1", None, None, None, None, 0.0, "", "niska", [("PVC", 200, 1)]),
+        ("d", 1, 2, "d1", "note", "kinetowa", 1200, 60.0, 58.0, 2.0, "właz", "wysoka", [("pvc", 200, 2), ("PP", 300, 1)]),
+        ("d", 1, 3, "D1", "NOTE", None, 1500, 61.0, None, 3.0, None, "średnia", []),
+        ("d", 1, 4, "", "alone", None, 800, None, None, None, None, "niska", []),
+        ("d", 1, 5, None, "Alone", None, 900, None, None, None, None, "niska", []),
+        ("d", 1, 6, "", "", None, 900, None, None, None, None, "niska", []),
+        ("d", 2, 1, "D1", "D 1", None, None, None, None, None, None, "niska", []),
+    ]
+    found = merge.page_merged(spark.createDataFrame(rows, shape), ["doc_id", "page_no"]).orderBy("page_no", "place").collect()
+    assert [(r["page_no"], r["place"], r["diameter_mm"]) for r in found] == [(1, 1, 1200), (1, 4, 800), (1, 6, 900), (2, 1, None)]
+    r = found[0]
+    # the last row's note isn't in the joined notes as a whole, so it is joined too
+    assert (r["type"], r["ground_m"], r["height_m"], r["crown"], r["confidence"], r["raw_text"]) == ("kinetowa", 60.0, 0.0, "właz", "wysoka", "D 1 | note | NOTE")
+    assert [tuple(t) for t in r["transitions"]] == [("PP", 300, 1), ("PVC", 200, 3)]
+
+
 def test_rounding_of_completeness(spark):
     found = run(spark, {"identifier": "A1"}, {"identifier": "A3", "diameter_mm": 1000, "type": "x"}, {"identifier": "A5", "diameter_mm": 1000, "type": "x", "crown": "y", "n_transitions": 1})
     assert [found[k]["completeness"] for k in ("A1", "A3", "A5")] == [12, 38, 62]
