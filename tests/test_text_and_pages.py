@@ -1,6 +1,7 @@
 """Normalisers, extraction, word boxes, sources and sinks on small inputs with the results known."""
 
 import zipfile
+from datetime import datetime
 
 import pytest
 from hypothesis import given, settings
@@ -30,7 +31,10 @@ def values(spark, column, *inputs):
         (text.material, {"pehd": "PE-HD", "HDPE": "PE-HD", " pvc ": "PVC"}),
         (text.folded, {"Zwężka_bet. +": "zwezkabet"}),
         (text.basename, {r"c:\a\b.pdf": "b.pdf", "x/y.z": "y.z", "q": "q"}),
-        (text.sort_key, {"d6/1": "D000006000002", "": "ZZZ999999", "KD12": "KD000012000000"}),
+        (text.sort_key, {"d6/1": "D000006.000002", "": "ZZZ999999", "KD12": "KD000012.000000", "so": "SO999999.000000"}),
+        (text.shown_sort_key, {"d6/1": "D000006.000002", "": "ZZZ999999", "KD12/1/2": "KD12/1/2", "so": "SO999999.000000"}),
+        (text.ocr_token, {" DI7": "D17", "K—1": "K-1", "P¥C160": "PVC160", "PVCI160": "PVC160", "DIL": "DIL"}),
+        (rules.drawing_type_of_name, {"x/PZT profil.pdf": "PZT", r"c:\PZT\a profil.pdf": "PROFIL", "b/Podłużny.pdf": "PROFIL", "plan sytuacyjny.pdf": "PZT", "PZT/a.pdf": None}),
         (rules.elevation, {"62,77": 62.77, "60,4]": 60.41, "6622,,7777": 62.77, "19,99": None, "abc": None, "(I26.47)": 126.47}),
         (rules.likely_identifier, {"KDIST": True, "SO": True, "D5": True, "KS200": False, "S3/2025": False, "D59.93": False, "D6/1": True, "X1": False}),
         (rules.drawing_type, {"x [[ABC_DRAWING:PZT]] PROFIL PODŁUŻNY": "PZT", "rzędne dna przewodu": "PROFIL", "Plan sytuacyjno": "PZT", "RZĘDNA DNA STUDZIENKI, rzędna wlotu, DŁUGOŚĆ PRZYKANALIKÓW": "TABELA WPUSTÓW", "": "NIEZNANY"}),
@@ -90,7 +94,10 @@ def test_project_from_text(spark):
     files = spark.createDataFrame([("p", "a", 0, "x/a.pdf"), ("p", "b", 1, "x/b.pdf")], "project_id string, doc_id string, ordinal long, source_file string")
     out = project.merged(project.parsed(spark.createDataFrame(texts, model.PAGES), files))
     r = out["manholes"].collect()
-    assert [(x["identifier"], x["ground_m"], x["invert_m"], x["height_m"], x["diameter_mm"], x["type"]) for x in r] == [("D5", 60.5, 58.25, 2.25, 1200, "kinetowa")]
+    # levels in text count beside a label alone, and these pages have no word boxes
+    assert [(x["identifier"], x["ground_m"], x["height_m"], x["diameter_mm"], x["type"], x["n_transitions"]) for x in r] == [("D5", None, None, 1200, "kinetowa", 1)]
+    assert [(x["material"], x["diameter_mm"], x["quantity"]) for x in out["transitions"].collect()] == [("PVC", 200, 1)]
+    assert [x["source_document"] for x in project.skipped(files.unionByName(files.limit(1).selectExpr("project_id", "'c' AS doc_id", "9L AS ordinal", "'x/c.pdf' AS source_file")), spark.createDataFrame(texts, model.PAGES)).collect()] == ["c.pdf"]
     assert out["projects"].first()["drawing_type"] == "ZESTAW: PZT + PROFIL"
     assert [x["identifier"] for x in out["inlets"].collect()] == ["WP3"]
     assert project.summary(out["manholes"], ["project_id"]).first()["total"] == 1
@@ -102,15 +109,24 @@ def words(spark, *boxes):
 
 def test_split_labels(spark):
     w = words(spark, ("D", 885, 1903, 15, 20), ("6/1", 900, 1901, 20, 14), ("133,55", 860, 1892, 23, 8), ("126,47", 860, 1901, 23, 8), ("D7", 882, 1910, 10, 8))
-    assert [r["identifier"] for r in geometry.split_labels(w, plan=True).collect()] == ["D6/1"]
+    assert [r["identifier"] for r in geometry.split_labels(w, "PZT").collect()] == ["D6/1"]
     assert [r["identifier"] for r in geometry.exact_labels(w, profile=False).collect()] == ["D7"]
     doubled = words(spark, ("DD", 885, 1903, 15, 20), ("66//11", 900, 1901, 20, 14), ("DD", 873, 1944, 15, 20), ("77", 888, 1943, 8, 14))
-    assert sorted(r["identifier"] for r in geometry.split_labels(doubled, plan=True).collect()) == ["D6/1", "D7"]
+    assert sorted(r["identifier"] for r in geometry.split_labels(doubled, "PZT").collect()) == ["D6/1", "D7"]
 
 
-def test_stitched_levels(spark):
-    w = words(spark, ("1", 860, 1901, 4, 8), ("2", 864, 1901, 4, 8), ("6,47", 868, 1901, 15, 8), ("9", 950, 1901, 4, 8))
-    assert {r["value"] for r in geometry.stitched_levels(w).collect()} == {126.47, 26.47}
+def test_stitched_words(spark):
+    w = words(spark, ("1", 860, 1901, 4, 8), ("2", 864, 1901.2, 4, 8), ("6,47", 868, 1900.8, 15, 8), ("9", 950, 1901, 4, 8), ("13", 100, 50, 8, 8), ("3,55", 116, 50, 15, 8), ("60,4]", 300, 50, 20, 8))
+    found = {(r["text"], r["x"], r["w"]) for r in geometry.stitched_words(w).collect()}
+    assert found == {("126,47", 860.0, 23.0), ("26,47", 864.0, 19.0), ("60,4]", 300.0, 20.0)}  # the gap beside 13 is too wide
+    assert [r["idx"] for r in geometry.with_stitched(w).orderBy("idx").collect()] == list(range(10))
+
+
+def test_misread_branch_labels(spark):
+    w = words(spark, ("KS21", 1366, 1134, 24, 10), ("KSe.1", 1370, 1136, 24, 10), ("s31", 1512, 1134, 24, 10), ("KS3", 1492, 1134, 24, 10), ("KS21", 100, 1134, 24, 10), ("S31", 100, 500, 24, 10), ("KDI", 1, 1, 9, 9))
+    read = lambda on: [r["_t"] for r in geometry.repaired_tokens(w, F.lit(on)).orderBy("idx").collect()]
+    assert read(True) == ["KS2.1", "KS2.1", "KS3.1", "KS3", "KS21", "S31", "KD1"]
+    assert read(False) == ["KS21", "KSE.1", "S31", "KS3", "KS21", "S31", "KDI"]
 
 
 def test_materials_with_numbers(spark):
@@ -121,7 +137,7 @@ def test_materials_with_numbers(spark):
 def test_evidence(spark):
     anchors = spark.createDataFrame([("d", 1, 0, "D1", 100.0, 100.0), ("d", 1, 1, "D2", 2000.0, 100.0)], "doc_id string, page_no int, idx int, identifier string, x double, y double")
     w = words(spark, ("62,77", 90, 126, 44, 16), ("60,41", 90, 146, 44, 16), ("DN1200", 120, 100, 30, 10))
-    assert {r["identifier"]: r["score"] for r in geometry.evidence(w, anchors).collect()} == {"D1": 7, "D2": 0}
+    assert {r["identifier"]: r["score"] for r in geometry.evidence(w, anchors).collect()} == {"D1": 9, "D2": 0}  # levels, a diameter, a pipe's mark
 
 
 def plain_clusters(values, tolerance):
@@ -144,7 +160,7 @@ def test_clusters(spark, groups, tolerance):
 
 def test_greedy_matches(spark):
     edges = spark.createDataFrame([("d", 1, 1, 10, 11, 5.0), ("d", 1, 1, 12, 13, 1.0), ("d", 1, 2, 12, 14, 2.0), ("d", 1, 2, 15, 16, 9.0), ("d", 1, 3, 10, 20, 999.0)], "doc_id string, page_no int, anchor long, a long, b long, cost double")
-    assert sorted((r["anchor"], r["a"]) for r in rows.greedy_matches(edges).collect()) == [(1, 12), (2, 15)]
+    assert sorted((r["anchor"], r["a"]) for r in rows.greedy_matches(edges, 260.0).collect()) == [(1, 12), (2, 15)]
 
 
 def test_reading_order_and_repeats(spark):
@@ -187,10 +203,46 @@ def test_workbook_and_files(spark, tmp_path):
         sheet = z.read("xl/worksheets/sheet1.xml").decode()
         assert z.testzip() is None and "D&lt;2&gt;" in sheet and '<c r="B2"><v>1.5</v></c>' in sheet and 'ref="A1:C3"' in sheet
     assert [sinks.address(c, 1) for c in (1, 26, 27, 702)] == ["A1", "Z1", "AA1", "ZZ1"]
-    sinks.write_report(spark.createDataFrame([("line",)], "value string"), str(tmp_path / "r"))
-    for _ in range(2):
-        sinks.append_history(df.coalesce(1), str(tmp_path / "h"))
-    assert spark.read.text(str(tmp_path / "r")).count() == 1 and spark.read.option("sep", ";").option("header", True).csv(str(tmp_path / "h")).count() == 4
+    at = datetime(2024, 5, 6, 7, 8, 9)
+    report = spark.createDataFrame([(2, "b"), (1, "a")], "n int, value string")
+    path = sinks.write_report(report, str(tmp_path / "r"), "check", at)
+    sinks.write_report(report.limit(1), str(tmp_path / "r"), "check", at.replace(day=7))
+    assert path.endswith("check_20240506_070809") and [r["value"] for r in spark.read.text(path).collect()] == ["a", "b"] and spark.read.text(str(tmp_path / "r/check_LATEST")).count() == 1
+    score = spark.createDataFrame([(15, 14, 13, 12, 11, 0)], "found long, dn long, height long, type long, crown long, extras long")
+    for day in (6, 7):
+        sinks.append_history(score, str(tmp_path / "h"), "1.0", at.replace(day=day))
+    assert [(r["timestamp"], r["id"]) for r in sinks.read_history(spark, str(tmp_path / "h")).collect()] == [("2024-05-06 07:08:09", "15"), ("2024-05-07 07:08:09", "15")]
+    assert sum(r["value"] == sinks.HISTORY for r in spark.read.text(str(tmp_path / "h/*")).collect()) == 1
+
+
+def test_sheets(spark):
+    pipes = spark.createDataFrame([("PVC", 200, 1, "a", "x"), ("PE", 100, 1, "a", "y"), ("PE", None, 1, "a", "z")], "material string, diameter_mm int, page int, source_document string, raw_text string")
+    assert [r["DN [mm]"] for r in sinks.pipe_sheet(pipes).collect()] == [None, 100, 200] and tuple(sinks.pipe_sheet(pipes).columns) == sinks.PIPES
+    inlets = spark.createDataFrame([("WP12", "niska", ["a", "b"]), ("WP2", "niska", ["a"])], "identifier string, confidence string, source_documents array<string>")
+    assert [tuple(r) for r in sinks.inlet_sheet(inlets).collect()] == [("WP2", "niska", "a"), ("WP12", "niska", "a | b")]
+
+
+def test_a_document_that_no_engine_read(spark):
+    ranks = spark.createDataFrame([("vector", 0)], "engine string, engine_rank int")
+    docs = spark.createDataFrame([("d",), ("e",)], "doc_id string")
+    with pytest.raises(Exception, match="no engine read document e"):
+        engines.chosen_engine(pages(spark, "D1", engine="vector"), ranks, docs).collect()
+
+
+def test_words_of_characters(spark):
+    def page(name, gap, blank):
+        out, x = [], 0
+        for k, c in enumerate("AB CD EF"):
+            if c != " " or blank:
+                out.append((name, 1, k, c, x, 100 + k % 2, x + 5, 110 + k % 2))
+            x += 6 if c != " " else gap
+        return out
+
+    glyphs = spark.createDataFrame(page("blanks", 6, True) + page("gaps", 9, False) + page("tight", 0, False), "doc_id string, page_no int, idx int, char string, left int, top int, right int, bottom int")
+    found = {}
+    for r in rows.page_words(glyphs).orderBy("idx").collect():
+        found.setdefault(r["doc_id"], []).append(r["text"])
+    assert found == {"blanks": ["AB", "CD", "EF"], "gaps": ["AB", "CD", "EF"], "tight": ["ABCDEF"]}
 
 
 def test_streamed_pages(spark, tmp_path):
