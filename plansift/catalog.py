@@ -9,6 +9,7 @@ from plansift.functions import rules, text
 from plansift.operators import benchmark, extract, geometry, merge, profile, rows
 from plansift.plans import adapters, project
 from plansift.sources import cache, engines, sinks, tiles
+from plansift.streaming import watch
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -93,10 +94,10 @@ def merged(spark, sf_dir):
     return merge.merged_records(adapters.records(spark, sf_dir))
 
 
-@query("SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda s: trim(s) <> '')) AS n_lines, list_sum(list_transform(string_split(text, chr(10)), lambda s: length(s))) AS n_chars FROM documents")
+@query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(len(list_filter(string_split(text, chr(10)), lambda s: trim(s) <> '')) AS BIGINT) AS n_lines FROM documents WHERE len(list_filter(string_split(text, chr(10)), lambda s: trim(s) <> '')) > 0")
 def line_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = F.split("text", "\n")
-    return adapters.table(spark, sf_dir, "documents").select("doc_id", F.size(F.filter(parts, lambda s: F.trim(s) != "")).cast("long").alias("n_lines"), F.aggregate(parts, F.lit(0).cast("long"), lambda a, s: a + F.length(s)).alias("n_chars"))
+    pages = adapters.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(1).alias("page_no"), "text")
+    return extract.page_lines(pages).groupBy("doc_id").agg(F.count("*").alias("n_lines"))
 
 
 @query("SELECT p_partkey, trim(regexp_replace(regexp_replace(p_name || p_size || 'mm PVC' || p_size, '([a-zA-Z])([0-9])', '\\1 \\2', 'g'), '([0-9])([a-zA-Z])', '\\1 \\2', 'g')) AS t FROM part")
@@ -104,9 +105,9 @@ def text_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapters.table(spark, sf_dir, "part").select("p_partkey", text.extracted(F.concat("p_name", F.col("p_size").cast("string"), F.lit("mm PYC"), F.col("p_size").cast("string"))).alias("t"))
 
 
-@query("SELECT doc_id, CAST(len(regexp_extract_all(text, '(?i)\\bthe\\b')) AS INTEGER) AS n FROM documents")
+@query(f"WITH {PAGES} SELECT page_no, CASE o_orderstatus WHEN 'F' THEN 'PROFIL' WHEN 'O' THEN 'PZT' ELSE 'NIEZNANY' END AS drawing_type, CASE o_orderstatus WHEN 'F' THEN 2 WHEN 'O' THEN 1 + (o_custkey BETWEEN 10 AND 9999)::INT ELSE 0 END AS candidates FROM pages")
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return adapters.table(spark, sf_dir, "documents").select("doc_id", F.regexp_count("text", F.lit(r"(?i)\bthe\b")).alias("n"))
+    return watch.classified(adapters.pages(spark, sf_dir)).select("page_no", "drawing_type", "candidates")
 
 
 @query("SELECT c_custkey, 'KD' || CAST(c_custkey AS VARCHAR) || '/' || CAST(c_custkey % 30 AS VARCHAR) AS identifier, c_custkey < 100 AND c_custkey % 30 < 20 AS likely FROM customer")
@@ -121,7 +122,7 @@ def strip_zeros(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapters.table(spark, sf_dir, "customer").select("c_custkey", text.identifier_number(F.concat(F.regexp_extract("c_name", "#(.*)", 1), F.lit("-00"), F.col("c_nationkey").cast("string"))).alias("number"))
 
 
-@query("SELECT p_partkey, 'D' || lpad(CAST(p_size AS VARCHAR), 6, '0') || lpad(CAST(p_partkey % 30 + 1 AS VARCHAR), 6, '0') AS k6, 'D' || lpad(CAST(p_size AS VARCHAR), 5, '0') AS k5 FROM part")
+@query("SELECT p_partkey, 'D' || lpad(CAST(p_size AS VARCHAR), 6, '0') || '.' || lpad(CAST(p_partkey % 30 + 1 AS VARCHAR), 6, '0') AS k6, 'D' || lpad(CAST(p_size AS VARCHAR), 5, '0') AS k5 FROM part")
 def natural_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat(F.lit("d"), F.col("p_size").cast("string"), F.lit("/"), (F.col("p_partkey") % 30).cast("string"))
     return adapters.table(spark, sf_dir, "part").select("p_partkey", text.sort_key(name).alias("k6"), text.sort_key(name, sub=False, width=5).alias("k5"))
@@ -138,9 +139,9 @@ def classify_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engines.detected_types(adapters.pages(spark, sf_dir))
 
 
-@query("SELECT n_nationkey, CASE WHEN n_regionkey = 0 THEN 'PZT' WHEN n_regionkey = 1 THEN 'PROFIL' END AS t, n_name || '.pdf' AS base FROM nation")
+@query("SELECT n_nationkey, CASE WHEN n_regionkey = 0 THEN 'PZT' WHEN n_regionkey = 1 THEN 'PROFIL' END AS t, CASE n_regionkey WHEN 0 THEN 'pzt profil ' WHEN 1 THEN 'Podłużne ' ELSE '' END || n_name || '.pdf' AS base FROM nation")
 def classify_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = F.concat(F.when(F.col("n_regionkey") == 0, r"c:\PZT profil/").when(F.col("n_regionkey") == 1, r"c:\Profile/").otherwise("x/"), F.col("n_name"), F.lit(".pdf"))
+    name = F.concat(F.lit(r"c:\profil/"), F.when(F.col("n_regionkey") == 0, "pzt profil ").when(F.col("n_regionkey") == 1, "Podłużne ").otherwise(""), F.col("n_name"), F.lit(".pdf"))
     return adapters.table(spark, sf_dir, "nation").select("n_nationkey", rules.drawing_type_of_name(name).alias("t"), text.basename(name).alias("base"))
 
 
@@ -165,22 +166,12 @@ def usable_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.usable(adapters.words(spark, sf_dir)).groupBy("doc_id").agg(F.count("*").alias("n"), F.max("w").alias("widest"))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 400 BETWEEN 20 AND 300 THEN (o_orderkey % 400)::DOUBLE + 0.25 * (o_orderkey % 400 < 300)::INT END AS level, (o_orderkey % 400)::DOUBLE AS number, o_orderkey % 50 = 0 AND o_orderkey BETWEEN 800 AND 4000 AS plausible, o_custkey IN (50, 63, 75, 90, 100, 110, 125) OR o_custkey BETWEEN 150 AND 799 AS pipe FROM orders WHERE o_custkey < 800")
-def decimal_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _parsed(adapters.table(spark, sf_dir, "orders").where("o_custkey < 800"))
-
-
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 400 BETWEEN 20 AND 300 THEN (o_orderkey % 400)::DOUBLE + 0.25 * (o_orderkey % 400 < 300)::INT END AS level, (o_orderkey % 400)::DOUBLE AS number, o_orderkey % 50 = 0 AND o_orderkey BETWEEN 800 AND 4000 AS plausible, o_custkey IN (50, 63, 75, 90, 100, 110, 125, 800) OR o_custkey BETWEEN 150 AND 799 AS pipe FROM orders")
-def decimal_parse_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """decimal_parse over every order."""
-    return _parsed(adapters.table(spark, sf_dir, "orders"))
-
-
-def _parsed(orders: DataFrame) -> DataFrame:
+def decimal_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("o_orderkey") % 400
     token = F.concat(F.lit("("), n.cast("string"), F.when(n < 300, ",25").otherwise(",00"), F.lit(")"))
     mm = F.col("o_custkey").cast("int")
-    return orders.select("o_orderkey", rules.elevation(token).alias("level"), rules.number_or_zero(F.concat(n.cast("string"), F.lit(",0"))).alias("number"), rules.plausible_manhole_diameter(F.col("o_orderkey")).alias("plausible"), rules.keeps_ocr_pipe(F.lit("PVC"), mm, F.lit(True)).alias("pipe"))
+    return adapters.table(spark, sf_dir, "orders").select("o_orderkey", rules.elevation(token).alias("level"), rules.number_or_zero(F.concat(n.cast("string"), F.lit(",0"))).alias("number"), rules.plausible_manhole_diameter(F.col("o_orderkey")).alias("plausible"), rules.keeps_ocr_pipe(F.lit("PVC"), mm, F.lit(True)).alias("pipe"))
 
 
 @query(f"WITH {PAGES} SELECT doc_id, page_no, CASE WHEN o_orderstatus = 'F' THEN 'D' || (o_custkey % 120) ELSE 'KD' || (o_orderkey % 30) END AS identifier FROM pages WHERE (o_orderstatus = 'F' AND o_custkey % 120 < 100) OR o_orderstatus = 'O'")
@@ -194,7 +185,7 @@ def typed_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_no", *[c.alias(n) for n, c in extract.described("text").items()])
 
 
-@query(f"WITH {PAGES} SELECT doc_id, page_no, 'PVC' AS material, 200 AS diameter_mm, 1 AS quantity FROM pages WHERE o_orderstatus = 'F' UNION ALL SELECT doc_id, page_no, 'PP', CAST(left(CAST(o_custkey AS VARCHAR), 4) AS INTEGER), 1 FROM pages WHERE o_orderstatus = 'O' AND o_custkey BETWEEN 10 AND 9999")
+@query(f"WITH {PAGES} SELECT doc_id, page_no, 'PVC' AS material, 200 AS diameter_mm, 1 AS quantity FROM pages WHERE o_orderstatus = 'F' UNION ALL SELECT doc_id, page_no, 'PP', CAST(left(CAST(o_custkey AS VARCHAR), 4) AS INTEGER), 1 FROM pages WHERE o_orderstatus = 'O' AND o_custkey BETWEEN 20 AND 9999")
 def transitions_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.transitions(adapters.pages(spark, sf_dir), "text", ["doc_id", "page_no"]).withColumn("quantity", F.col("quantity").cast("int"))
 
@@ -242,14 +233,14 @@ def confidence_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapters.records(spark, sf_dir).select("project_id", text.key_of(F.col("identifier")).alias("key"), "ordinal", points.alias("points"), rules.confidence(points).alias("confidence"))
 
 
-GATED = f"""{RECORDS}, kept AS (SELECT * FROM records WHERE NOT (drawing_type = 'PZT' AND CAST(substr(key, 2) AS BIGINT) % 3 = 0)),
+GATED = f"""{RECORDS}, kept AS (SELECT * REPLACE (CASE WHEN drawing_type = 'PZT' AND CAST(substr(key, 2) AS BIGINT) % 3 = 0 THEN 'SZCZEGOL' ELSE drawing_type END AS drawing_type) FROM records),
 plan AS (SELECT project_id, count(DISTINCT key) AS n FROM kept WHERE drawing_type = 'PZT' GROUP BY 1),
 ids AS (SELECT project_id, key, bool_or(drawing_type = 'PZT') AS on_plan, count(DISTINCT CASE WHEN drawing_type = 'PROFIL' THEN base END) AS profiles FROM kept GROUP BY ALL)"""
 
 
 @query(f"WITH {GATED} SELECT project_id, key, count(*) AS n FROM kept LEFT JOIN plan USING (project_id) JOIN ids USING (project_id, key) WHERE coalesce(plan.n, 0) < 6 OR drawing_type = 'PZT' OR on_plan OR profiles >= 2 OR (dn IS NOT NULL)::INT + (g IS NOT NULL AND i IS NOT NULL)::INT + (type IS NOT NULL OR crown IS NOT NULL)::INT + (n_transitions > 0)::INT >= 2 GROUP BY ALL")
 def inventory_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows_ = adapters.records(spark, sf_dir).where("NOT (drawing_type = 'PZT' AND cast(substr(identifier, 3) AS long) % 3 = 0)")
+    rows_ = adapters.records(spark, sf_dir).withColumn("drawing_type", F.expr("CASE WHEN drawing_type = 'PZT' AND cast(substr(identifier, 3) AS long) % 3 = 0 THEN 'SZCZEGOL' ELSE drawing_type END"))
     return merge.inventory_gate(rows_).groupBy("project_id", text.key_of(F.col("identifier")).alias("key")).agg(F.count("*").alias("n"))
 
 
@@ -265,11 +256,11 @@ def inlet_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.merged_inlets(adapters.records(spark, sf_dir)).select("project_id", "identifier", "confidence", F.size("source_documents").cast("long").alias("n_sources"))
 
 
-@query(f"WITH {RECORDS}, f AS (SELECT key, drawing_type, min(prio * 1000000 + ordinal) AS o FROM records WHERE drawing_type <> 'SZCZEGOL' OR CAST(substr(key, 2) AS BIGINT) % 2 = 0 GROUP BY ALL) SELECT key, CASE count(*) WHEN 1 THEN any_value(drawing_type) ELSE 'ZESTAW: ' || string_agg(drawing_type, ' + ' ORDER BY o) END AS drawing_type FROM f GROUP BY key")
+@query(f"WITH {RECORDS}, f AS (SELECT key, drawing_type, min(prio * 1000000 + ordinal) FILTER (drawing_type <> 'SZCZEGOL' OR CAST(substr(key, 2) AS BIGINT) % 2 = 0) AS o FROM records GROUP BY ALL) SELECT key, CASE count(o) WHEN 0 THEN 'NIEZNANY' WHEN 1 THEN any_value(drawing_type) FILTER (o IS NOT NULL) ELSE 'ZESTAW: ' || string_agg(drawing_type, ' + ' ORDER BY o) FILTER (o IS NOT NULL) END AS drawing_type FROM f GROUP BY key")
 def set_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows_ = adapters.records(spark, sf_dir).withColumn("key", text.key_of(F.col("identifier")))
-    rows_ = rows_.where("drawing_type <> 'SZCZEGOL' OR cast(substr(key, 2) AS long) % 2 = 0")
-    return merge.set_type(rows_, "key")
+    unknown = (F.col("drawing_type") == "SZCZEGOL") & (F.substring("key", 2, 20).cast("long") % 2 == 1)
+    return merge.set_type(rows_.withColumn("drawing_type", F.when(unknown, "NIEZNANY").otherwise(F.col("drawing_type"))), "key")
 
 
 @query(f"WITH {MERGED} SELECT project_id, count(*) AS total, count(*) FILTER (completeness >= 70) AS mostly_complete, count(*) FILTER (completeness = 100) AS complete, count(*) FILTER (validation_issues <> '') AS with_issues FROM finished GROUP BY 1")
@@ -277,19 +268,20 @@ def project_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return project.summary(merged(spark, sf_dir), ["project_id"])
 
 
-@query(f"WITH {MERGED} SELECT project_id, key AS identifier, type, dn AS diameter_mm, CASE WHEN g IS NOT NULL THEN format('{{:.2f}}', g) END AS ground, completeness || '%' AS completeness, array_to_string(source_documents, ' | ') AS sources, 'D' || lpad(substr(key, 2), 6, '0') || '000000' AS sort_key FROM finished")
+@query(f"WITH {MERGED} SELECT project_id, key AS identifier, type, dn AS diameter_mm, CASE WHEN g IS NOT NULL THEN format('{{:.2f}}', g) END AS ground, completeness || '%' AS completeness, array_to_string(source_documents, ' | ') AS sources, 'D' || lpad(substr(key, 2), 6, '0') || '.000000' AS sort_key FROM finished")
 def export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.export_manholes(merged(spark, sf_dir)).select("project_id", "identifier", "type", "diameter_mm", "ground", "completeness", "sources", "sort_key")
 
 
-EXPECTED = "SELECT concat('D', p_partkey) AS id, 1000 AS dn, cast(3.0 AS DOUBLE) AS height, 'kinetowa' AS type, 'właz' AS crown FROM {0} WHERE p_partkey % 2 = 0"
+#: Every second expected identifier is in no drawing.
+EXPECTED = "SELECT concat(CASE WHEN p_partkey % 2 = 0 THEN 'D' ELSE 'X' END, p_partkey) AS id, 1000 AS dn, cast(3.0 AS DOUBLE) AS height, 'kinetowa' AS type, 'właz' AS crown FROM {0}"
 COMPARED = f"""{MERGED}, expected AS ({EXPECTED.format('part')}), b AS (
     SELECT id, key IS NOT NULL AS found, coalesce(a.dn = e.dn, FALSE) AS dn_ok, coalesce(abs(a.h - e.height) <= 0.05, FALSE) AS height_ok, coalesce(a.type = e.type, FALSE) AS type_ok, coalesce(a.crown = e.crown, FALSE) AS crown_ok
     FROM expected e LEFT JOIN finished a ON a.key = e.id)"""
 
 
 def _expected(spark, sf_dir):
-    return adapters.table(spark, sf_dir, "part").where("p_partkey % 2 = 0").selectExpr("concat('D', p_partkey) AS id", "1000 AS dn", "3D AS height", "'kinetowa' AS type", "'właz' AS crown")
+    return adapters.table(spark, sf_dir, "part").selectExpr("concat(CASE WHEN p_partkey % 2 = 0 THEN 'D' ELSE 'X' END, p_partkey) AS id", "1000 AS dn", "3D AS height", "'kinetowa' AS type", "'właz' AS crown")
 
 
 def _actual(spark, sf_dir):
@@ -369,60 +361,92 @@ def band_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_no", "ground_band", "invert_band", "hits", "misalignment")
 
 
-@query()
+@query(f"""WITH RECURSIVE {POINTS}, o AS (SELECT doc_id, page_no, x, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY x) AS n FROM points), c AS (
+    SELECT doc_id, page_no, n, x AS mean, 1 AS size, 0 AS band FROM o WHERE n = 1
+    UNION ALL
+    SELECT o.doc_id, o.page_no, o.n, CASE WHEN abs(c.mean - o.x) <= 60 THEN (c.mean * c.size + o.x) / (c.size + 1) ELSE o.x END, CASE WHEN abs(c.mean - o.x) <= 60 THEN c.size + 1 ELSE 1 END, CASE WHEN abs(c.mean - o.x) <= 60 THEN c.band ELSE c.band + 1 END
+    FROM c JOIN o ON o.doc_id = c.doc_id AND o.page_no = c.page_no AND o.n = c.n + 1
+) SELECT doc_id, page_no, band, round(arg_max(mean, n), 6) AS mean, max(size) AS size FROM c GROUP BY doc_id, page_no, band""")
 def band_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows.banded(adapters.points(spark, sf_dir), "x", F.lit(60.0))
+    return rows.banded(adapters.points(spark, sf_dir), "x", F.lit(60.0)).withColumn("mean", F.round("mean", 6))
 
 
-@query()
-def band_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = adapters.points(spark, sf_dir).withColumns({"kind": F.when(F.col("line") % 3 == 0, "depth").otherwise("level"), "band": F.col("line"), "dx": F.lit(1.0), "idx": F.lit(1)})
-    return rows.band_triples(p.groupBy(*geometry.PAGE, "idx", "kind", "band").agg(F.min("value").alias("value"), F.min("dx").alias("dx")))
+TRIPLES = f"""{POINTS}, v AS (SELECT doc_id, page_no, CASE WHEN line % 3 = 0 THEN 'depth' ELSE 'level' END AS kind, line AS band, min(value) AS value FROM points GROUP BY ALL), t AS (
+    SELECT g.doc_id, g.page_no, g.band AS g_band, i.band AS i_band, d.band AS d_band, abs(g.value - i.value - d.value) AS residual FROM v g JOIN v i USING (doc_id, page_no) JOIN v d USING (doc_id, page_no)
+    WHERE g.kind = 'level' AND i.kind = 'level' AND d.kind = 'depth' AND g.value > i.value AND g.band <> i.band
+), r AS (SELECT *, 70 - 180 * residual - 0.5 AS score, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY residual, g_band, i_band, d_band) AS n FROM t WHERE residual <= 0.28)"""
 
 
-@query()
+@query(f"WITH {TRIPLES} SELECT page_no, g_band, i_band, d_band, CAST(1 AS BIGINT) AS hits, round(CAST(score AS DOUBLE), 6) AS score FROM r WHERE n = 1")
+def band_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = adapters.points(spark, sf_dir).withColumns({"kind": F.when(F.col("line") % 3 == 0, "depth").otherwise("level"), "band": F.col("line"), "dx": F.lit(1.0), "idx": F.lit(1)})
+    found = rows.band_triples(p.groupBy(*geometry.PAGE, "idx", "kind", "band").agg(F.min("value").alias("value"), F.min("dx").alias("dx")))
+    return found.select("page_no", "g_band", "i_band", "d_band", "hits", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH RECURSIVE {POINTS}, e AS (
+    SELECT a.page_no, a.line AS anchor, a.idx AS a, b.idx AS b, 1.5 * abs(a.x - b.x) + 5 * abs(a.y - b.y) AS cost FROM points a JOIN points b USING (doc_id, page_no) WHERE a.idx < b.idx AND abs(a.x - b.x) <= 200 AND abs(a.y - b.y) <= 100
+), o AS (SELECT *, row_number() OVER (PARTITION BY page_no ORDER BY cost, anchor, a, b) AS n FROM e WHERE cost <= 260), s AS (
+    SELECT page_no, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS anchors, CAST([] AS BIGINT[]) AS numbers, FALSE AS taken, CAST(NULL AS BIGINT) AS anchor, CAST(NULL AS BIGINT) AS a, CAST(NULL AS BIGINT) AS b, CAST(NULL AS DOUBLE) AS cost FROM (SELECT DISTINCT page_no FROM o)
+    UNION ALL
+    SELECT o.page_no, o.n, CASE WHEN free THEN list_append(s.anchors, o.anchor) ELSE s.anchors END, CASE WHEN free THEN list_concat(s.numbers, [o.a, o.b]) ELSE s.numbers END, free, o.anchor, o.a, o.b, o.cost
+    FROM s JOIN (SELECT * FROM o) AS o ON o.page_no = s.page_no AND o.n = s.n + 1, LATERAL (SELECT NOT list_contains(s.anchors, o.anchor) AND NOT list_contains(s.numbers, o.a) AND NOT list_contains(s.numbers, o.b) AS free)
+) SELECT page_no, anchor, a, b, round(cost, 6) AS cost FROM s WHERE taken""")
 def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = adapters.points(spark, sf_dir)
     pairs = geometry.near_join(p, p, 200.0, 100.0, lx="x", ly="y", rx="x", ry="y").where("idx < r_idx")
     edges = pairs.select(*geometry.PAGE, F.col("line").cast("long").alias("anchor"), F.col("idx").cast("long").alias("a"), F.col("r_idx").cast("long").alias("b"), (1.5 * F.abs(F.col("x") - F.col("r_x")) + 5 * F.abs(F.col("y") - F.col("r_y"))).alias("cost"))
-    return rows.greedy_matches(edges)
+    return rows.greedy_matches(edges, 260.0).select("page_no", "anchor", "a", "b", F.round("cost", 6).alias("cost"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {POINTS}, o AS (
+    SELECT page_no, text, idx, x + 2 AS cx, y + 1 AS cy, row_number() OVER (PARTITION BY page_no, text ORDER BY (line <> 1), value DESC, idx) AS n FROM points
+), s AS (
+    SELECT page_no, text, n, idx, TRUE AS kept, [{{'x': cx, 'y': cy}}] AS l FROM o WHERE n = 1
+    UNION ALL
+    SELECT o.page_no, o.text, o.n, o.idx, fresh, CASE WHEN fresh THEN list_append(s.l, {{'x': o.cx, 'y': o.cy}}) ELSE s.l END
+    FROM s JOIN o ON o.page_no = s.page_no AND o.text = s.text AND o.n = s.n + 1, LATERAL (SELECT len(list_filter(s.l, lambda k: abs(k.x - o.cx) <= 16 AND abs(k.y - o.cy) <= 12)) = 0 AS fresh)
+) SELECT page_no, idx, text FROM s WHERE kept""")
 def nms_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = adapters.points(spark, sf_dir).withColumns({"key": text.dedup_text(F.col("text")), "confidence": F.col("value"), "important": F.col("line") == 1})
-    return rows.without_repeats(p)
+    return rows.without_repeats(p).select("page_no", "idx", "text")
 
 
-@query()
+@query(f"""WITH RECURSIVE {POINTS}, o AS (SELECT page_no, idx, text, x, y, y + 1 AS middle, row_number() OVER (PARTITION BY page_no ORDER BY y, x, idx) AS n FROM points), s AS (
+    SELECT page_no, n, 1 AS place, [{{'s': middle, 'n': 1, 'y': y}}] AS l, idx, text, x, y FROM o WHERE n = 1
+    UNION ALL
+    SELECT o.page_no, o.n, coalesce(hit, len(s.l) + 1), CASE WHEN hit IS NULL THEN list_append(s.l, {{'s': o.middle, 'n': 1, 'y': o.y}}) ELSE list_concat(list_append(s.l[:hit - 1], {{'s': s.l[hit].s + o.middle, 'n': s.l[hit].n + 1, 'y': s.l[hit].y + o.y}}), s.l[hit + 1:]) END, o.idx, o.text, o.x, o.y
+    FROM s JOIN o ON o.page_no = s.page_no AND o.n = s.n + 1, LATERAL (SELECT CAST(nullif(list_position(list_transform(s.l, lambda k: abs(k.s / k.n - o.middle) <= 3), TRUE), 0) AS INTEGER) AS hit)
+), lines AS (SELECT page_no, place, avg(y) AS mean, string_agg(text, ' ' ORDER BY x, y, idx) AS line FROM s GROUP BY ALL)
+SELECT page_no, string_agg(line, chr(10) ORDER BY mean, place) AS text FROM lines GROUP BY page_no""")
 def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows.reading_order(adapters.points(spark, sf_dir))
+    return rows.reading_order(adapters.points(spark, sf_dir)).select("page_no", "text")
 
 
-@query()
+@query(f"""WITH {POINTS}, near AS (
+    SELECT a.page_no, a.idx, b.idx AS place, b.value + 50 AS value, b.x - a.x AS dx, b.y - a.y AS dy, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS distance FROM points a JOIN points b USING (doc_id, page_no) WHERE abs(a.x - b.x) <= 150 AND abs(a.y - b.y) <= 60
+), four AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_no, idx ORDER BY distance, abs(dx), place) AS n FROM near) WHERE n <= 4), pairs AS (
+    SELECT p.page_no, p.idx, greatest(p.value, q.value) AS ground_m, least(p.value, q.value) AS invert_m, row_number() OVER (PARTITION BY p.page_no, p.idx ORDER BY round(p.distance + q.distance + 2 * least(abs(p.dx - q.dx), abs(p.dy - q.dy)), 9), p.n, q.n) AS r
+    FROM four p JOIN four q USING (page_no, idx) WHERE p.n < q.n AND abs(p.value - q.value) BETWEEN 0.2 AND 15
+) SELECT page_no, idx, ground_m, invert_m FROM pairs WHERE r = 1""")
 def top4_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = adapters.points(spark, sf_dir)
-    return geometry.local_pairs(p, p.withColumn("value", F.col("value") + 50), 150.0, 60.0)
+    return geometry.local_pairs(p, p.withColumn("value", F.col("value") + 50), 150.0, 60.0).select("page_no", "idx", "ground_m", "invert_m")
 
 
-@query()
+@query(f"""WITH {POINTS}, a AS (SELECT * FROM points WHERE line % 3 = 1), d AS (
+    SELECT p.page_no, p.idx, a.idx AS anchor_idx, abs(p.x + 2 - a.x) AS dx, abs(p.y - 1 - a.y) AS dy, sqrt((p.x + 2 - a.x) * (p.x + 2 - a.x) + (p.y - 1 - a.y) * (p.y - 1 - a.y)) AS distance FROM points p JOIN a USING (doc_id, page_no)
+), o AS (SELECT x.*, (SELECT min(y.distance) FROM d y WHERE y.page_no = x.page_no AND y.idx = x.idx AND y.anchor_idx <> x.anchor_idx) AS other FROM d x)
+SELECT page_no, anchor_idx, idx, round(distance, 6) AS distance FROM o WHERE dx <= 200 AND dy <= 80 AND (other IS NULL OR distance <= 1.18 * other OR distance <= 48)""")
 def owner_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = adapters.points(spark, sf_dir)
-    return geometry.owned_words(p, p.where("line = 1"), reach_x=200.0, reach_y=80.0)
-
-
-@query("SELECT doc_id, list_transform(list_filter(string_split(text, ' '), lambda w: w <> ''), lambda w: w)[1] AS first_word, CAST(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS BIGINT) AS n FROM documents WHERE n_chars < 300 AND text NOT LIKE ' %' AND position(chr(10) IN string_split(text, ' ')[1]) = 0")
-def chars_to_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _first_words(adapters.table(spark, sf_dir, "documents").where("n_chars < 300 AND text NOT LIKE ' %' AND instr(split(text, ' ')[0], '\n') = 0"))
+    return geometry.owned_words(p, p.where("line % 3 = 1"), reach_x=200.0, reach_y=80.0).select("page_no", "anchor_idx", "idx", F.round("distance", 6).alias("distance"))
 
 
 @query("SELECT doc_id, w[1] AS first_word, len(w) AS n FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS w FROM documents) WHERE len(w) > 0")
-def chars_to_words_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """chars_to_words over every document, whole; those without words have no row."""
-    return _first_words(adapters.table(spark, sf_dir, "documents"))
-
-
-def _first_words(docs: DataFrame) -> DataFrame:
+def chars_to_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, whole; those without words have no row."""
+    docs = adapters.table(spark, sf_dir, "documents")
     glyphs = docs.select(F.col("doc_id"), F.lit(1).alias("page_no"), F.posexplode(F.split("text", "")).alias("idx", "char")).where("char <> ''")
     glyphs = glyphs.withColumns({"left": F.col("idx") * 5.0, "right": F.col("idx") * 5.0 + 4, "top": F.lit(10.0), "bottom": F.lit(0.0)})
     found = rows.chars_to_words(glyphs)
@@ -445,19 +469,9 @@ def rotate_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapters.points(spark, sf_dir).select("page_no", "idx", box.alias("b")).select("page_no", "idx", F.col("b.x").alias("bx"), F.col("b.y").alias("by_"), F.col("b.w").alias("bw"))
 
 
-@query("SELECT doc_id, upper(sha256(text)) AS hash, doc_id % 3 = 0 AND doc_id % 2 = 0 AS hit FROM documents WHERE doc_id NOT IN (SELECT d.doc_id FROM documents d JOIN documents e ON d.text = e.text AND d.doc_id <> e.doc_id)")
-def cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = adapters.table(spark, sf_dir, "documents")
-    alone = docs.groupBy(F.sha2("text", 256).alias("_h")).agg(F.count("*").alias("n")).where("n = 1").select("_h")
-    docs = docs.withColumn("_h", F.sha2("text", 256)).join(alone, "_h", "left_semi")
-    body = F.when(F.col("doc_id") % 2 == 0, F.lit('{"version": "1", "pages": [{"number": 1, "text": "a", "items": []}]}')).otherwise(F.lit('{"version": "0", "pages": []'))
-    known = docs.where("doc_id % 3 = 0").select(F.lit("engine").alias("identity"), cache.content_hash(F.col("text")).alias("hash"), body.alias("body"))
-    return cache.lookup(docs.select("doc_id", F.col("text").alias("content")), known, "engine", "1").select("doc_id", "hash", F.col("document").isNotNull().alias("hit"))
-
-
 @query("SELECT doc_id, upper(sha256(text)) AS hash, min(doc_id) OVER (PARTITION BY text) % 6 = 0 AS hit FROM documents")
-def cache_lookup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """cache_lookup of every document, copies too, in a cache of all contents: of another engine, an old version with broken JSON, or to be hit."""
+def cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, copies too, in a cache of all contents: of another engine, an old version with broken JSON, or to be hit."""
     docs = adapters.table(spark, sf_dir, "documents")
     first = F.col("first")
     body = F.when(first % 2 == 0, F.lit('{"version": "1", "pages": [{"number": 1, "text": "a", "items": []}]}')).otherwise(F.lit('{"version": "0", "pages": []'))
@@ -466,9 +480,14 @@ def cache_lookup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cache.lookup(docs.select("doc_id", F.col("text").alias("content")), known, "engine", "1").select("doc_id", "hash", F.col("document").isNotNull().alias("hit"))
 
 
-@query("SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events")
+@query("SELECT event_id, CAST(user_id % 9 AS INTEGER) AS number, event_type AS text, CAST(event_id % 3 AS INTEGER) AS items, CASE WHEN event_id % 3 > 0 THEN round(value, 4) END AS x FROM events")
 def json_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return adapters.table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
+    """Each event as a cached document of one page, written as JSON and read again."""
+    item = F.struct(F.lit("w").alias("text"), F.round("value", 4).alias("x"), *[F.lit(0.0).alias(c) for c in "ywh"])
+    page = F.struct((F.col("user_id") % 9).cast("int").alias("number"), F.col("event_type").alias("text"), F.array_repeat(item, (F.col("event_id") % 3).cast("int")).alias("items"))
+    written = adapters.table(spark, sf_dir, "events").select("event_id", cache.entry(F.struct(F.lit("1").alias("version"), F.array(page).alias("pages"))).alias("body"))
+    first = F.from_json("body", cache.DOCUMENT)["pages"][0]
+    return written.select("event_id", first["number"].alias("number"), first["text"].alias("text"), F.size(first["items"]).alias("items"), F.try_element_at(first["items"], F.lit(1))["x"].alias("x"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_size > 26 THEN chr(CAST(64 + (p_size - 1) // 26 AS INTEGER)) ELSE '' END || chr(CAST(65 + (p_size - 1) % 26 AS INTEGER)) || p_partkey AS address FROM part")
@@ -490,7 +509,7 @@ def profile_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{NODES} SELECT page_no, 'D' || k AS identifier FROM n UNION ALL SELECT DISTINCT page_no, 'KD' || (c_custkey % 90 + 1) FROM n")
 def spatial_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = adapters.drawn_words(spark, sf_dir)
-    return geometry.exact_labels(words, profile=False).unionByName(geometry.split_labels(words, plan=False)).select("page_no", "identifier")
+    return geometry.exact_labels(words, profile=False).unionByName(geometry.split_labels(words)).select("page_no", "identifier")
 
 
 @query("SELECT CAST(c_custkey AS INTEGER) AS page_no, 'PVC' AS material, 200 AS diameter_mm, 1 AS quantity, 'WP' || (c_custkey % 50) AS inlet, 126.47::DOUBLE AS stitched FROM customer")
@@ -498,16 +517,19 @@ def spatial_materials(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = adapters.drawn_words(spark, sf_dir)
     pipes = geometry.local_materials(words).select("page_no", "material", "diameter_mm", F.col("quantity").cast("int").alias("quantity"))
     inlets = geometry.word_inlets(words).select("page_no", F.col("identifier").alias("inlet"))
-    whole = geometry.stitched_levels(words).where("x = 4800").select("page_no", F.col("value").alias("stitched"))
+    whole = geometry.stitched_words(words).where("x = 4800").select("page_no", rules.elevation(F.col("text")).alias("stitched"))
     return pipes.join(inlets, "page_no").join(whole, "page_no")
 
 
-@query(f"{NODES} SELECT page_no, 'D' || k AS identifier, 4 + 3 * (c_custkey % 2 = 0)::INT AS score FROM n")
+@query(f"{NODES} SELECT page_no, 'D' || k AS identifier, 4 + 5 * (c_custkey % 2 = 0)::INT AS score FROM n")
 def evidence_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = adapters.drawn_words(spark, sf_dir)
     return geometry.evidence(words, geometry.exact_labels(words, profile=True)).select("page_no", "identifier", "score")
 
 
-@query("SELECT CAST(c_custkey AS INTEGER) AS page_no, CAST(23 AS BIGINT) AS kept FROM customer")
+@query(f"WITH {POINTS} SELECT page_no, count(*) AS kept, CAST(sum(idx) AS BIGINT) AS which FROM points WHERE line % 4 <> 0 AND idx % 3 <> 0 GROUP BY page_no")
 def usable_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return geometry.usable(adapters.drawn_words(spark, sf_dir)).groupBy("page_no").agg(F.count("*").alias("kept"))
+    p = adapters.points(spark, sf_dir)
+    empty = lambda c: F.when(F.col("idx") % 3 == 0, 0.0).otherwise(F.col(c))
+    p = p.withColumns({"text": F.when(F.col("line") % 4 == 0, " ").otherwise(F.col("text")), **{c: empty(c) for c in "xywh"}})
+    return geometry.usable(p).groupBy("page_no").agg(F.count("*").alias("kept"), F.sum("idx").cast("long").alias("which"))
