@@ -104,14 +104,16 @@ def _best(rows: DataFrame, known: DataFrame, ks: list[int], longest: int, shingl
     first = lambda c: F.greatest(F.lit(0), c - F.lit(longest))
     cut = F.when(F.col("total") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col("total") - 1, F.lit(0)), F.lit(chunk)), lambda c: F.struct(c.alias("core"), first(c).alias("low"), F.slice("all", first(c) + 1, F.lit(chunk + longest) + c - first(c)).alias("some"))))
     rows = rows.select("_key", "_text_hash", "k", "total", F.explode(cut).alias("c")).select("_key", "_text_hash", "k", "total", "c.*")
-    core = F.slice("some", F.col("core") - F.col("low") + 1, F.lit(chunk))
-    hits = lambda k: F.filter(F.transform(core, lambda h, i: F.when(tests[k](h), F.struct(i.alias("i"), h.alias("h")))), lambda x: x.isNotNull())
-    hit = reduce(lambda rest, k: F.when(F.col("k") == k, hits(k)).otherwise(rest), ks[1:], hits(ks[0]))
-    rows = rows.select("_key", "_text_hash", "k", "total", "core", "low", "some", F.explode(hit).alias("x"))
-    rows = rows.select("_key", "_text_hash", "k", "total", "low", "some", (F.col("core") + F.col("x.i")).alias("p"), F.col("x.h").alias("h"))
+    known_at = lambda k: F.filter(F.transform("some", lambda h, i: F.when(tests[k](h), F.col("low") + i)), lambda p: p.isNotNull())
+    rows = rows.withColumn("hits", reduce(lambda rest, k: F.when(F.col("k") == k, known_at(k)).otherwise(rest), ks[1:], known_at(ks[0])))
+    rows = rows.select("*", F.explode(F.filter("hits", lambda p: (p >= F.col("core")) & (p < F.col("core") + chunk))).alias("p")).withColumn("h", F.get("some", F.col("p") - F.col("low")))
     rows = rows.join(F.broadcast(anchors), ["k", "h"])
     start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("at"), F.col("total") - F.col("m")))
-    rows = rows.withColumn("start", start).select("_key", "_text_hash", "k", "n", "start", F.slice("some", F.col("start") - F.col("low") + 1, F.col("m")).alias("hashes"))
+    rows = rows.withColumns({"start": start, "size": F.least("m", "total")})
+    # of a window that is similar, so many shingles at least are the item's, and so pass the test
+    inside = F.size(F.filter("hits", lambda p: (p >= F.col("start")) & (p < F.col("start") + F.col("size"))))
+    rows = rows.where(inside >= (F.col("m") + F.col("size")) * (SIMILARITY / (1 + SIMILARITY)) - 1e-6)
+    rows = rows.select("_key", "_text_hash", "k", "n", "start", F.slice("some", F.col("start") - F.col("low") + 1, F.col("m")).alias("hashes"))
     by = ["_key", "_text_hash", "k", "n", "start"]
     windows = _fingerprints(rows.groupBy(*by).agg(F.first("hashes").alias("hashes")), by)
     marked = _fingerprints(known.withColumn("row", F.xxhash64("hashes")).dropDuplicates(["item", "k", "n", "row"]), ["item", "k", "n", "row"])
