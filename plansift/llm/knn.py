@@ -118,12 +118,13 @@ def _matrix(column: pa.ChunkedArray | pa.Array, d: int) -> np.ndarray:
 
 
 def _in_cells(rows: DataFrame) -> DataFrame:
-    """rows plus cell: where the vector lies among cells cut at the medians of a sample; 0 for vectors of a rare length."""
-    common = [r["d"] for r in rows.groupBy("d").count().orderBy(F.desc("count"), "d").limit(LENGTHS).collect() if r["count"] > SHARD]
+    """rows plus cell: where the vector lies among cells cut at the medians of a sample, about a shard each, 256 at most; 0 for vectors
+    of a rare length."""
+    common = {r["d"]: r["count"] for r in rows.groupBy("d").count().orderBy(F.desc("count"), "d").limit(LENGTHS).collect() if r["count"] > SHARD}
     cutters = {}
-    for d in common:
+    for d, n in common.items():
         sample = rows.where(F.col("d") == d).orderBy(F.xxhash64("key", "v"), "key").limit(SAMPLE).select("key", "v").collect()
-        cutters[d] = Tree(np.array([r["key"] for r in sample]), np.array([r["v"] for r in sample], float).reshape(len(sample), d), leaf=SAMPLE // 256)
+        cutters[d] = Tree(np.array([r["key"] for r in sample]), np.array([r["v"] for r in sample], float).reshape(len(sample), d), leaf=max(SAMPLE // 256, len(sample) * SHARD // n))
     if not cutters:
         return rows.withColumn("cell", F.lit(0).cast("long"))
 
