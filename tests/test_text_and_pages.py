@@ -189,6 +189,23 @@ def test_cache(spark):
         cache.checked(models.where("name <> 'c'"), expected).collect()
 
 
+def test_reading_what_the_cache_has_not(spark):
+    files = spark.createDataFrame([("a", bytearray(b"1")), ("b", bytearray(b"22")), ("c", bytearray(b"22")), ("d", bytearray(b"bad"))], "doc_id string, content binary")
+    body = '{"version": "7", "pages": [{"number": 1, "text": "known", "items": []}]}'
+    known = files.where("doc_id = 'a'").select(F.lit("e").alias("identity"), cache.content_hash(F.col("content")).alias("hash"), F.lit(body).alias("body"))
+
+    def read(content):
+        if content == b"bad":
+            raise ValueError("no picture")
+        return {"version": "7", "pages": [{"number": 1, "text": content.decode(), "items": []}]}
+
+    found = cache.recognised(files, known, "e", "7", read)
+    got = {r["doc_id"]: (r["document"]["pages"][0]["text"] if r["document"] else None, r["failure"]) for r in found.collect()}
+    assert got == {"a": ("known", None), "b": ("22", None), "c": ("22", None), "d": (None, "ValueError: no picture")}
+    fresh = cache.cache_rows(found, "e")
+    assert fresh.count() == 2 and cache.misses(cache.lookup(files, known.unionByName(fresh), "e", "7")).count() == 1
+
+
 def test_tiles_and_kept_words(spark):
     df = spark.createDataFrame([(3000, 1000)], "width int, height int")
     assert sorted((r["tile_x"], r["tile_y"], r["tile_w"], r["tile_h"]) for r in tiles.tiles(df).collect()) == [(0, 0, 1700, 1000), (1300, 0, 1700, 1000)]
