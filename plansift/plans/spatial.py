@@ -1,6 +1,7 @@
 """Manholes of drawings from word boxes, in one plan: labels, what is written near them, and every rule of which source wins.
 
-All steps are joins and aggregates on (document, page); words read several times over are stored first.
+All steps are joins and aggregates on (document, page). What several of them read, and what each source of levels gives, is stored:
+small plans, none of which starts over when an executor is lost.
 """
 
 from __future__ import annotations
@@ -128,26 +129,26 @@ def page_levels(anchors: DataFrame, words: DataFrame, pages: DataFrame) -> DataF
     on_profile, key = F.col("kind") == "PROFIL", [*PAGE, "idx"]
     planned = (F.col("kind") == "PZT") | (F.col("ocr") & ~on_profile)
     nodes, drawn = anchors.where(on_profile).select(*PAGE, "idx", "identifier", "x", "y"), words.where(on_profile)
-    wide = profile.with_tolerance(nodes)
+    wide = stored(profile.with_tolerance(nodes), "nodes")
     flat = stored(anchors.where(planned).select(*PAGE, "idx", "source_idx", "x", "y"), "plan-anchors")
     plan = words.where(planned)
     stream = extract.text_elevations(pages.select(*PAGE, "text")).join(anchors.select(*key, "identifier"), [*PAGE, "identifier"]).select(*key, "ground_m", "invert_m")
     spatial = stored(plan_levels.spatial_levels(flat, plan), "spatial")
     doubled = plan_levels.has_doubled_glyphs(plan.where("own")).where("doubled").select(*PAGE)
-    geometry_ = profile.elevations(wide, drawn)
+    geometry_ = stored(profile.elevations(wide, drawn), "rows")
     sources = [
         geometry_.select(*key, "ground_m", "invert_m"),
-        profile.column_levels(nodes, drawn),
+        stored(profile.column_levels(nodes, drawn), "column-levels"),
         stream,
         spatial.join(doubled, PAGE, "left_semi"),
-        plan_levels.ordered_levels(flat, plan),
+        stored(plan_levels.ordered_levels(flat, plan), "ordered"),
         spatial,
     ]
     ranked = reduce(DataFrame.unionByName, [s.select(*key, F.struct(F.lit(k).alias("rank"), "ground_m", "invert_m").alias("s")) for k, s in enumerate(sources)])
     pairs = ranked.groupBy(*key).agg(F.min("s").alias("s")).select(*key, "s.ground_m", "s.invert_m")
     depths = geometry_.where("evidence >= 4").select(*key, "depth_m")
-    dns = profile.node_diameters(wide, drawn).select(*key, F.struct(F.lit(0).alias("rank"), "diameter_mm").alias("s"))
-    dns = dns.unionByName(profile.column_diameters(nodes, drawn).select(*key, F.struct(F.lit(1).alias("rank"), "diameter_mm").alias("s")))
+    dns = stored(profile.node_diameters(wide, drawn), "node-dns").select(*key, F.struct(F.lit(0).alias("rank"), "diameter_mm").alias("s"))
+    dns = dns.unionByName(stored(profile.column_diameters(nodes, drawn), "column-dns").select(*key, F.struct(F.lit(1).alias("rank"), "diameter_mm").alias("s")))
     dns = dns.groupBy(*key).agg(F.min("s")["diameter_mm"].alias("column_dn"))
     return anchors.select(*key).join(pairs, key, "left").join(depths, key, "left").join(dns, key, "left")
 
@@ -163,7 +164,7 @@ def described(anchors: DataFrame, words: DataFrame, pages: DataFrame) -> DataFra
     context = local.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("distance", "word", "text"))), lambda s: s["text"]), " ").alias("_c"))
     rows = anchors.join(context, key, "left").withColumn("_c", text.extracted(F.coalesce("_c", F.lit(""))))
     rows = rows.withColumn("raw_text", F.when(F.trim("_c") == "", F.col("identifier")).otherwise(F.col("_c")))
-    rows = rows.join(page_levels(anchors, words, pages), key, "left")
+    rows = rows.join(stored(page_levels(anchors, words, pages), "levels"), key, "left")
     rows = rows.join(local_levels(local).withColumnsRenamed({"ground_m": "_lg", "invert_m": "_li"}), key, "left").join(local_diameters(local).withColumnRenamed("diameter_mm", "_ldn"), key, "left")
     told = extract.described("raw_text")
     named = F.col("raw_text").rlike(r"(?iu)\b(?:studnia|studzienka)\b")
@@ -175,7 +176,7 @@ def described(anchors: DataFrame, words: DataFrame, pages: DataFrame) -> DataFra
     deep = (F.col("kind") == "PROFIL") & F.col("depth_m").isNotNull()
     flow = F.when(deep & ~F.col("raw_text").rlike("(?iu)osadnik"), F.lit("kinetowa"))
     cover = F.when(deep & F.col("height_m").isNotNull(), F.when(F.col("height_m") <= 1.1, LOW_CROWN).otherwise(HIGH_CROWN))
-    rows = rows.withColumns({"type": F.coalesce("type", flow), "crown": F.coalesce("crown", cover)})
+    rows = stored(rows.withColumns({"type": F.coalesce("type", flow), "crown": F.coalesce("crown", cover)}).drop("_p"), "described")
     moved = with_transitions(rows, local)
     scores = geometry.evidence(words, anchors, F.when(F.col("kind") == "PROFIL", 420.0).otherwise(300.0)).select(*key, "score")
     scored = rows.join(moved, key, "left").join(scores, key)
