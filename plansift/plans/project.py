@@ -98,12 +98,14 @@ def skipped(files: DataFrame, pages: DataFrame, errors: DataFrame | None = None)
 
 
 def merged(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """One set of tables per project out of all its documents."""
-    records = merge.merged_records(merge.inventory_gate(tables["records"]))
+    """One set of tables per project out of all its documents. Transitions are those of records that pass the inventory's gate."""
+    kept = merge.inventory_gate(tables["records"])
+    named = kept.select("project_id", "doc_id", "identifier").distinct()
+    moved = tables["transitions"].join(named, ["project_id", "doc_id", "identifier"], "left_semi").withColumn("identifier", text.key_of(F.col("identifier")))
     return {
         "projects": merge.set_type(tables["documents"]),
-        "manholes": records,
-        "transitions": merge.merged_transitions(tables["transitions"], ["project_id", "identifier"]),
+        "manholes": merge.merged_records(kept),
+        "transitions": merge.merged_transitions(moved, ["project_id", "identifier"]),
         "inlets": merge.merged_inlets(tables["inlets"]),
         "pipes": merge.distinct_pipes(tables["pipes"]),
     }
