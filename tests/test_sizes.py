@@ -2,7 +2,10 @@
 
 import os
 
+from pyspark.sql import functions as F
+
 from plansift import catalog, catalog_pages  # noqa: F401
+from plansift.sources import tiles
 from tests.oracle import compare
 
 
@@ -20,3 +23,16 @@ def with_keys(spark, sf_dir, tmp_path, table, key, keys):
 def test_tokens_of_long_numbers(spark, sf_dir, tmp_path):
     d = with_keys(spark, sf_dir, tmp_path, "supplier", "s_suppkey", [0, 7, 99, 999, 1000, 1001, 59999])
     compare(catalog.QUERIES["token_texts"](spark, d), catalog.ORACLE_SQL["token_texts"], d)
+
+
+def test_passes_of_large_pages(spark, sf_dir, tmp_path):
+    d = with_keys(spark, sf_dir, tmp_path, "supplier", "s_suppkey", [0, 1, 5, 500_000, 500_003])
+    compare(catalog.QUERIES["ocr_passes"](spark, d), catalog.ORACLE_SQL["ocr_passes"], d)
+
+
+def test_pass_counts_are_those_of_the_rows(spark):
+    sizes = [(w, h, a, b) for w in (0, 1, 1519, 1520, 1521, 1700, 1701, 3220, 3221, 9000) for h in (1, 660, 1700, 3041, 4741) for a, b in ((0, 20), (5, 3), (None, 10))]
+    pages = spark.createDataFrame([(k, *s) for k, s in enumerate(sizes)], "page int, width int, height int, important_a int, important_b int")
+    want = {(r["page"], r["pass"]): r["count"] for r in tiles.passes(pages).groupBy("page", "pass").count().collect()}
+    for r in tiles.pass_counts(pages).collect():
+        assert [r[c.lower()] for c in "ABCD"] == [want.get((r["page"], c), 0) for c in "ABCD"]
