@@ -36,3 +36,9 @@ def test_pass_counts_are_those_of_the_rows(spark):
     want = {(r["page"], r["pass"]): r["count"] for r in tiles.passes(pages).groupBy("page", "pass").count().collect()}
     for r in tiles.pass_counts(pages).collect():
         assert [r[c.lower()] for c in "ABCD"] == [want.get((r["page"], c), 0) for c in "ABCD"]
+
+
+def test_tiles_of_few_large_pages_are_dealt_out(spark):
+    pages = spark.range(64).coalesce(1).select(F.col("id"), F.lit(40_000).alias("width"), F.lit(40_000).alias("height"))
+    own = tiles.tiles(pages).groupBy(F.spark_partition_id()).count().collect()
+    assert len(own) > 4 and sum(r["count"] for r in own) == 64 * 27 * 27
