@@ -37,15 +37,19 @@ def diameters(words: DataFrame) -> DataFrame:
     return w.where(rules.plausible_manhole_diameter(F.col("value"))).select(*PAGE, "idx", F.col("cx").alias("x"), F.col("cy").alias("y"), F.greatest(F.lit(1.0), F.col("h")).alias("h"), F.col("value").cast("double").alias("value"))
 
 
-def in_bands(points: DataFrame, tolerance: DataFrame | None = None, share: float = 0.9, low: float = 3.5, high: float = 15.0, least: int = 1) -> DataFrame:
-    """points plus band: clusters of y on a page, of `least` points or more. The tolerance is a clamped share of the upper median
-    height of these points, or a table of its own (page, tolerance)."""
-    groups = points.groupBy(*PAGE).agg(F.collect_list(F.col("y").cast("double")).alias("_ys"), rules.clamp(share * upper_median(F.collect_list("h")), low, high).alias("_own"))
+def in_bands(points: DataFrame, tolerance: DataFrame | None = None, share: float = 0.9, low: float = 3.5, high: float = 15.0, least: int = 1, crowd: int = 1) -> DataFrame:
+    """points plus band: clusters of y on a page, of `least` points or more, on pages of `crowd` points or more. The tolerance is a
+    clamped share of the upper median height of these points, or a table of its own (page, tolerance)."""
+    rest = [c for c in points.columns if c not in PAGE]
+    groups = points.groupBy(*PAGE).agg(F.collect_list(F.when(F.col("y").isNotNull(), F.struct(*rest))).alias("_points"), rules.clamp(share * upper_median(F.collect_list("h")), low, high).alias("_own"), F.count("*").alias("_crowd"))
+    groups = groups.where(F.col("_crowd") >= crowd)
     if tolerance is not None:
         groups = groups.join(tolerance, PAGE).withColumn("_own", F.col("tolerance"))
-    bands = groups.select(*PAGE, F.posexplode(clusters(F.col("_ys"), F.col("_own"))).alias("band", "c")).where(F.size("c.members") >= least)
-    bands = bands.select(*PAGE, "band", F.array_min("c.members").alias("_low"), F.array_max("c.members").alias("_high"))
-    return points.join(bands, PAGE).where((F.col("y") >= F.col("_low")) & (F.col("y") <= F.col("_high"))).drop("_low", "_high")
+    ys = F.transform("_points", lambda p: p["y"].cast("double"))
+    bands = groups.select(*PAGE, "_points", F.posexplode(clusters(ys, F.col("_own"))).alias("band", "c")).where(F.size("c.members") >= least)
+    bands = bands.select(*PAGE, "band", "_points", F.array_min("c.members").alias("_low"), F.array_max("c.members").alias("_high"))
+    inside = F.filter("_points", lambda p: (p["y"] >= F.col("_low")) & (p["y"] <= F.col("_high")))
+    return bands.select(*PAGE, "band", F.explode(inside).alias("_p")).select(*PAGE, *[F.col(f"_p.{c}").alias(c) for c in rest], "band")
 
 
 def in_columns(anchors: DataFrame, banded: DataFrame) -> DataFrame:
@@ -82,7 +86,7 @@ def numeric_rows(words: DataFrame) -> DataFrame:
     enough = bare.groupBy(*PAGE).agg(F.count("*").alias("_n"), rules.clamp(0.65 * F.coalesce(upper_median(F.collect_list(F.when(F.col("h") > 0, F.col("h")))), F.lit(10.0)), 3.0, 8.0).alias("tolerance")).where("_n >= 3").drop("_n")
     rows = in_bands(bare, enough)
     first = Window.partitionBy(*PAGE, "band", "number").orderBy("x", "idx")
-    rows = rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    rows = stored(rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n"), "numbers")
     pairs = near_join(rows, levels(words), 75.0, 360.0, lx="x", ly="y", rx="x", ry="y").where(F.abs(F.col("y") - F.col("r_y")) >= 35)
     columns = pairs.groupBy(*PAGE, "idx").agg((F.count("*") >= 2).alias("_column"))
     step = F.abs(F.col("number") - F.lag("number").over(Window.partitionBy(*PAGE, "band").orderBy("x", "idx")))
@@ -98,7 +102,7 @@ def numeric_rows(words: DataFrame) -> DataFrame:
 def recovered(anchors: DataFrame, words: DataFrame, page_text: DataFrame) -> DataFrame:
     """anchors (page, idx, identifier, x, y) with nodes whose letters were lost: the best bare row under the page's family, unless three
     of the family are there; they replace anchors of the same name, and the other family goes where both were confirmed."""
-    names = family(anchors, words, page_text)
+    names = stored(family(anchors, words, page_text), "family")
     rows = anchors.join(names, PAGE, "left")
     other = F.when(F.col("prefix") == "KD", "KS").when(F.col("prefix") == "KS", "KD")
     rows = rows.where(~F.coalesce(F.col("both") & F.col("identifier").rlike(r"^(?:KD|KS)\d+$") & F.startswith("identifier", other), F.lit(False)))
@@ -123,7 +127,8 @@ def node_rows(anchors: DataFrame, words: DataFrame) -> DataFrame:
     column = anchors.join(lev, PAGE).where((F.abs(F.col("_lx") - F.col("x")) <= 70) & (F.abs(F.col("_ly") - F.col("y")) >= 35)).groupBy(*PAGE, "idx", "identifier").agg((F.count("*") >= 2).alias("_column"))
     dn = centred(words).where(compact(F.col("text")).rlike(STANDARD)).select(*PAGE, F.col("cx").alias("_dx"))
     has_dn = anchors.join(dn, PAGE).where(F.abs(F.col("_dx") - F.col("x")) <= 75).select(*PAGE, "idx", "identifier").distinct().withColumn("_dn", F.lit(True))
-    rows = rows.join(column, [*PAGE, "idx", "identifier"], "left").join(has_dn, [*PAGE, "idx", "identifier"], "left")
+    column, has_dn = stored(column, "columns"), stored(has_dn, "columns-dn")
+    rows = stored(rows.join(column, [*PAGE, "idx", "identifier"], "left").join(has_dn, [*PAGE, "idx", "identifier"], "left"), "node-bands")
     one = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*PAGE, "band", "identifier").orderBy("idx"))).where("_n = 1")
     late = F.coalesce(F.regexp_extract("identifier", r"^(?:D|S)(\d+)$", 1).try_cast("int") >= 30, F.lit(False))
     penalty = F.when(F.col("identifier").rlike("[./-]"), 4).otherwise(0) + F.when(late, 5).otherwise(0)
@@ -173,14 +178,13 @@ def column_levels(anchors: DataFrame, words: DataFrame) -> DataFrame:
     """
     some = anchors.join(anchors.groupBy(*PAGE).agg(F.count("*").alias("_anchors")).where("_anchors >= 2"), PAGE)
     lev = plain_numbers(words, r"^\d{2,3}[,.]\d{2}$", 20, 250)
-    lev = lev.join(lev.groupBy(*PAGE).agg((F.count("*") >= 4).alias("_four")).where("_four").drop("_four"), PAGE)
-    rows = in_bands(lev, low=4.1, high=14.1)
+    rows = in_bands(lev, low=4.1, high=14.1, crowd=4)
     least = some.groupBy(*PAGE).agg(F.greatest(F.lit(2), F.least(F.lit(5), F.floor(F.count("*") / 4))).alias("_least"))
     full = rows.groupBy(*PAGE, "band").agg(F.count("*").alias("_size")).join(least, PAGE).where(F.col("_size") >= F.col("_least")).select(*PAGE, "band")
     tolerance = gap_tolerance(some, "x").select(*PAGE, "tolerance")
-    at = in_columns(some.join(tolerance, PAGE), rows.join(full, [*PAGE, "band"]))
+    at = stored(in_columns(some.join(tolerance, PAGE), rows.join(full, [*PAGE, "band"])), "column-points")
     other = at.select(*PAGE, "idx", F.col("band").alias("_band"), F.col("value").alias("_value"), F.col("dx").alias("_dx"))
-    pairs = at.join(other, [*PAGE, "idx"]).where((F.col("band") < F.col("_band")) & F.abs(F.col("value") - F.col("_value")).between(0.35, 8.0))
+    pairs = stored(at.join(other, [*PAGE, "idx"]).where((F.col("band") < F.col("_band")) & F.abs(F.col("value") - F.col("_value")).between(0.35, 8.0)), "column-pairs")
     sums = pairs.groupBy(*PAGE, "band", "_band").agg(F.count("*").alias("hits"), F.sum(F.col("dx") + F.col("_dx")).alias("off")).where("hits >= 2")
     best = sums.withColumn("_n", F.row_number().over(Window.partitionBy(*PAGE).orderBy(F.desc("hits"), "off", "band", "_band"))).where("_n = 1").select(*PAGE, "band", "_band")
     return pairs.join(best, [*PAGE, "band", "_band"]).select(*PAGE, "idx", F.greatest("value", "_value").alias("ground_m"), F.least("value", "_value").alias("invert_m"))
@@ -189,11 +193,9 @@ def column_levels(anchors: DataFrame, words: DataFrame) -> DataFrame:
 def column_diameters(anchors: DataFrame, words: DataFrame) -> DataFrame:
     """page, idx, diameter_mm: the row of diameters that most columns meet, if enough do: a third of them, three at least, six at most."""
     some = anchors.join(anchors.groupBy(*PAGE).agg(F.count("*").alias("_anchors")).where("_anchors >= 2"), PAGE)
-    points = diameters(words)
-    points = points.join(points.groupBy(*PAGE).agg((F.count("*") >= 2).alias("_two")).where("_two").drop("_two"), PAGE)
-    rows = in_bands(points, share=1.0, low=5.0, high=16.0)
+    rows = in_bands(diameters(words), share=1.0, low=5.0, high=16.0, crowd=2)
     sizes = rows.groupBy(*PAGE, "band").agg(F.count("*").alias("_size"))
-    at = in_columns(some.join(gap_tolerance(some, "x").select(*PAGE, "tolerance"), PAGE), rows)
+    at = stored(in_columns(some.join(gap_tolerance(some, "x").select(*PAGE, "tolerance"), PAGE), rows), "column-sizes")
     n = some.groupBy(*PAGE).agg(F.count("*").alias("_n"))
     hits = at.groupBy(*PAGE, "band").agg(F.count("*").alias("hits")).join(sizes, [*PAGE, "band"]).join(n, PAGE)
     best = hits.withColumn("_r", F.row_number().over(Window.partitionBy(*PAGE).orderBy(F.desc("hits"), F.desc("_size"), "band"))).where(F.col("_r") == 1)
@@ -209,20 +211,19 @@ def elevations(anchors: DataFrame, words: DataFrame) -> DataFrame:
     """page, idx, ground_m, invert_m, depth_m, evidence from the page's best rows: three rows with ground - invert = depth (evidence 4);
     on pages without such, the two rows that cover most columns smoothly (evidence 3). anchors with tolerance."""
     lev = plain_numbers(words, r"^\d{2,3}[,.]\d{2}$", 20, 250)
-    lev = lev.join(lev.groupBy(*PAGE).agg((F.count("*") >= 4).alias("_four")).where("_four").drop("_four"), PAGE)
-    tol = lev.groupBy(*PAGE).agg(rules.clamp(0.9 * upper_median(F.collect_list("h")), 3.5, 15.0).alias("tolerance"))
-    at = in_columns(anchors, in_bands(lev, tol, least=2))
-    deep = in_columns(anchors, in_bands(plain_numbers(words, r"^\d{1,2}[,.]\d{2}$", 0.45, 8.0), tol, least=2))
+    tol = lev.groupBy(*PAGE).agg(rules.clamp(0.9 * upper_median(F.collect_list("h")), 3.5, 15.0).alias("tolerance"), F.count("*").alias("_four")).where("_four >= 4").drop("_four")
+    at = stored(in_columns(anchors, in_bands(lev, share=0.9, low=3.5, high=15.0, least=2, crowd=4)), "level-points")
+    deep = stored(in_columns(anchors, in_bands(plain_numbers(words, r"^\d{1,2}[,.]\d{2}$", 0.45, 8.0), tol, least=2)), "depth-points")
     n = anchors.groupBy(*PAGE).agg(F.count("*").alias("_anchors"))
     take = lambda df, p: df.select(*PAGE, "idx", F.col("band").alias(f"{p}_band"), F.col("value").alias(p), F.col("dx").alias(f"{p}_dx"))
-    pairs = at.select(*PAGE, "idx", "x").distinct().join(take(at, "g"), [*PAGE, "idx"]).join(take(at, "i"), [*PAGE, "idx"]).where("g_band <> i_band")
+    pairs = stored(at.select(*PAGE, "idx", "x").distinct().join(take(at, "g"), [*PAGE, "idx"]).join(take(at, "i"), [*PAGE, "idx"]).where("g_band <> i_band"), "level-pairs")
     rows = pairs.join(take(deep, "d"), [*PAGE, "idx"]).withColumn("_res", F.abs(F.col("g") - F.col("i") - F.col("d")))
-    rows = rows.where((F.col("g") - F.col("i")).between(0.45, 8.0) & (F.col("_res") <= 0.28))
+    rows = stored(rows.where((F.col("g") - F.col("i")).between(0.45, 8.0) & (F.col("_res") <= 0.28)), "level-triples")
     bands = ["g_band", "i_band", "d_band"]
     scored = rows.groupBy(*PAGE, *bands).agg(F.count("*").alias("hits"), F.avg("_res").alias("_r"), F.avg(F.col("g_dx") + F.col("i_dx") + F.col("d_dx")).alias("_dx")).join(n, PAGE).where(F.col("hits") >= enough(F.col("_anchors"), 2, 4))
     score = 70 * F.col("hits") - 180 * F.col("_r") - 0.5 * F.col("_dx")
     top = lambda df, s, cols: df.withColumn("_n", F.row_number().over(Window.partitionBy(*PAGE).orderBy(s.desc(), *cols))).where("_n = 1").select(*PAGE, *cols)
-    best3 = top(scored, score, bands)
+    best3 = stored(top(scored, score, bands), "best-triples")
     found3 = rows.join(best3, [*PAGE, *bands]).select(*PAGE, "idx", F.col("g").alias("ground_m"), F.col("i").alias("invert_m"), F.col("d").alias("depth_m"), F.lit(4).alias("evidence"))
     two = pairs.where((F.col("g") - F.col("i")).between(0.45, 6.5)).join(best3.select(*PAGE), PAGE, "left_anti")
     row = Window.partitionBy(*PAGE, "g_band", "i_band").orderBy("x", "idx")
@@ -236,7 +237,7 @@ def elevations(anchors: DataFrame, words: DataFrame) -> DataFrame:
 def node_diameters(anchors: DataFrame, words: DataFrame) -> DataFrame:
     """page, idx, diameter_mm: from the row of diameters with most hits and the most frequent value; where it has none, the most
     frequent standard diameter (or metres) written in the node's column, at a tie the closest to 1200."""
-    at = in_columns(anchors, in_bands(diameters(words), share=1.1, low=4.1, high=18.0))
+    at = stored(in_columns(anchors, in_bands(diameters(words), share=1.1, low=4.1, high=18.0)), "size-points")
     n = anchors.groupBy(*PAGE).agg(F.count("*").alias("_anchors"))
     values = at.groupBy(*PAGE, "band", F.rint("value").alias("_v")).agg(F.count("*").alias("_c"))
     scored = values.groupBy(*PAGE, "band").agg(F.sum("_c").alias("hits"), F.max("_c").alias("_top")).join(n, PAGE).where(F.col("hits") >= enough(F.col("_anchors"), 2, 4))

@@ -5,7 +5,10 @@ import os
 from pyspark.sql import functions as F
 
 from plansift import catalog, catalog_pages  # noqa: F401
+from plansift.operators import geometry, profile
+from plansift.plans import adapters
 from plansift.sources import tiles
+from plansift.sources.shared import stored
 from tests.oracle import compare
 
 
@@ -42,3 +45,18 @@ def test_tiles_of_few_large_pages_are_dealt_out(spark):
     pages = spark.range(64).coalesce(1).select(F.col("id"), F.lit(40_000).alias("width"), F.lit(40_000).alias("height"))
     own = tiles.tiles(pages).groupBy(F.spark_partition_id()).count().collect()
     assert len(own) > 4 and sum(r["count"] for r in own) == 64 * 27 * 27
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_few_pages_of_one_file_are_dealt_out(spark, sf_dir):
+    assert adapters.drawn_words(spark, sf_dir).rdd.getNumPartitions() >= 4
+    assert adapters.sheets(spark, sf_dir)[1].rdd.getNumPartitions() >= 4
+
+
+def test_plan_of_elevations_does_not_repeat_its_input(spark, sf_dir):
+    words = stored(adapters.drawn_words(spark, sf_dir), "words")
+    anchors = stored(profile.with_tolerance(geometry.exact_labels(words, profile=True)), "anchors")
+    assert len(plan(profile.elevations(anchors, words))) < 20_000
