@@ -25,6 +25,8 @@ CELLS = 1 << 20
 TOGETHER, FEW = 64, 48
 #: Half the bytes that a Python worker's memory of words takes: the older half goes when the newer one is full.
 REMEMBERED = 80 << 20
+#: Bytes of text that are encoded and decoded at a time: decoding takes some 20 bytes of memory for each.
+PORTION = 2 << 20
 #: Words of more characters aren't remembered, and what an entry takes besides its key and ids.
 LONGEST, ENTRY = 64, 180
 _WHITE = r"[\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -267,7 +269,9 @@ def gather(values: np.ndarray, lengths: np.ndarray, at: np.ndarray) -> tuple[np.
     """The runs of values (of the given lengths, one after another) that `at` names, one after another, and their lengths."""
     taken = lengths[at]
     starts = (np.cumsum(lengths) - lengths)[at] - (np.cumsum(taken) - taken)
-    return values[np.repeat(starts, taken) + np.arange(int(taken.sum()))], taken
+    places = np.repeat(starts, taken)
+    places += np.arange(len(places))
+    return values[places], taken
 
 
 _open: dict = {}
@@ -320,7 +324,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, rank = _by_ranks(path, pattern), ranks(path, pattern)
-        for part in portions(batches):
+        for part in portions(batches, size=PORTION):
             ids, starts = words.texts(part.column(1))
             data, sizes = rank.decode(ids)
             ends = np.concatenate([[0], np.cumsum(sizes)])[starts]

@@ -1,10 +1,13 @@
 """Larger tables than the test data's: keys beyond its range, pages of very many tiles."""
 
 import os
+import tracemalloc
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from plansift import catalog, catalog_pages  # noqa: F401
+from plansift.llm import bpe
 from plansift.operators import geometry, profile
 from plansift.plans import adapters
 from plansift.sources import tiles
@@ -64,3 +67,12 @@ def test_plan_of_elevations_does_not_repeat_its_input(spark, sf_dir):
     words = stored(adapters.drawn_words(spark, sf_dir), "words")
     anchors = stored(profile.with_tolerance(geometry.exact_labels(words, profile=True)), "anchors")
     assert len(plan(profile.elevations(anchors, words))) < 20_000
+
+
+def test_gathered_places_take_two_arrays_at_most():
+    at = np.arange(1000)
+    tracemalloc.start()
+    bpe.gather(np.zeros(4_000_000, np.uint8), np.full(1000, 4000), at)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2.4 * 8 * 4_000_000
