@@ -10,7 +10,7 @@ from plansift import catalog, catalog_pages  # noqa: F401
 from plansift.llm import bpe
 from plansift.operators import geometry, profile
 from plansift.plans import adapters
-from plansift.sources import tiles
+from plansift.sources import shared, tiles
 from plansift.sources.shared import stored
 from tests.oracle import compare
 
@@ -76,3 +76,22 @@ def test_gathered_places_take_two_arrays_at_most():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 2.4 * 8 * 4_000_000
+
+
+def collections(spark):
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    return sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+
+
+def test_a_stored_step_leaves_no_garbage_in_a_full_heap(spark, monkeypatch):
+    for full, least, most in ((0.0, 1, 99), (1.0, 0, 0)):
+        monkeypatch.setattr(shared, "FULL", full)
+        before = collections(spark)
+        stored(spark.range(3).toDF("id"), "few")
+        assert least <= collections(spark) - before <= most
+
+
+def test_last_plan_of_whole_pages_is_the_merge_alone(spark, sf_dir):
+    df = catalog.QUERIES["spatial_manholes"](spark, sf_dir)
+    assert df._jdf.queryExecution().executedPlan().toString().count("Exchange ") < 15
+    assert df.count() == 487
