@@ -19,6 +19,8 @@ BITS = 18
 #: Bounds of the rows that a model is fitted on.
 POSITIVE, UNLABELLED = 3_000, 9_000
 REMEMBERED = 400_000
+#: The same for a fit, which runs in the driver.
+REMEMBERED_IN_FIT = 20_000
 #: The class prior where there are fewer than FEW texts of a kind to estimate it from.
 PRIOR, FEW = 0.1, 100
 #: Features of a model.
@@ -61,7 +63,7 @@ def _rows(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
     ids, scale = [], np.ones(len(texts))
     for n, text in enumerate(texts):
         words = set(text.split())
-        if len(known) > REMEMBERED // 2:
+        if len(known) > REMEMBERED_IN_FIT:
             known.clear()
         for w in words.difference(known):
             known[w] = features(w)
@@ -72,7 +74,13 @@ def _rows(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
 
 def chosen(p: list[np.ndarray], u: list[np.ndarray], most: int = CHOSEN, least: float = 2.5) -> np.ndarray:
     """The features whose document frequencies differ most between confirmed and unlabelled texts, by the two-sample z statistic."""
-    share = lambda rows: (np.bincount(np.concatenate([np.unique(r) for r in rows]), minlength=1 << BITS) + 0.5) / (len(rows) + 1)
+
+    def share(rows: list[np.ndarray]) -> np.ndarray:
+        counts = np.zeros(1 << BITS, np.int32)
+        for r in rows:  # one by one: all of them in an array take twice what the rows do
+            counts[np.unique(r)] += 1
+        return (counts + 0.5) / (len(rows) + 1)
+
     a, b = share(p), share(u)
     z = np.abs(a - b) / np.sqrt(a * (1 - a) / len(p) + b * (1 - b) / len(u))
     first = np.argsort(-z, kind="stable")[:most]

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -25,6 +26,21 @@ def test_pu_learning_from_positive_and_unlabelled_texts():
     assert np.mean(right) > 0.95
 
 
+def test_a_fit_takes_little_beside_its_features():
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(100)) for _ in range(1500)]
+    size = sum(x.nbytes for x in toxicity._rows(texts)[0])
+    tracemalloc.start()
+    ids, _ = toxicity._rows(texts)
+    known = tracemalloc.get_traced_memory()[1] - size
+    tracemalloc.reset_peak()
+    before = tracemalloc.get_traced_memory()[0]
+    toxicity.chosen(ids[:500], ids[500:])
+    counts = tracemalloc.get_traced_memory()[1] - before
+    tracemalloc.stop()
+    assert known < 15_000_000 and counts < 8 * 8 * (1 << toxicity.BITS)
+
+
 def test_prior_without_examples():
     assert toxicity.fit([], ["a"], 0.3).score("", {}) < 0.01
     assert abs(toxicity.fit(["a"], [], 0.3).score("", {}) - 0.3) < 1e-6
