@@ -1,6 +1,7 @@
 """Larger tables than the test data's: keys beyond its range, pages of very many tiles."""
 
 import os
+import re
 import tracemalloc
 
 import numpy as np
@@ -50,6 +51,28 @@ def test_tiles_of_few_large_pages_are_dealt_out(spark):
     assert len(own) > 4 and sum(r["count"] for r in own) == 64 * 27 * 27
 
 
+def test_tiles_are_made_row_by_row_of_a_page(spark):
+    """One compiled stage with both explodes holds all tiles of a page at once."""
+    was = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        made = tiles.tiles(spark.range(3).selectExpr("id", "id * 70 AS width", "id * 41 AS height"))
+        stages = re.findall(r"\*\((\d+)\) Generate", made._jdf.queryExecution().executedPlan().toString())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", was)
+    assert len(stages) == 2 and len(set(stages)) == 2
+
+
+def test_tiles_start_at_all_steps_and_at_the_end(spark):
+    sizes = [0, 1, 899, 1700, 1701, 3219, 3220, 3221, 4740, 9000]
+    pages = spark.createDataFrame([(k, w, h) for k, (w, h) in enumerate((w, h) for w in sizes for h in sizes)], "id int, width int, height int")
+    for tile, overlap in ((1700, 180), (900, 0), (300, 240)):
+        starts = lambda n: {min(s, max(n - tile, 0)) for s in range(0, max(n, 1), tile - overlap)}  # noqa: B023, E731
+        few = pages.where("width <= 1701 AND height <= 1701") if tile == 300 else pages
+        got = sorted(map(tuple, tiles.tiles(few, tile, overlap).collect()))
+        assert got == sorted((*r, y, x, min(tile, r["width"]), min(tile, r["height"])) for r in few.collect() for y in starts(r["height"]) for x in starts(r["width"]))
+
+
 def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
