@@ -5,6 +5,7 @@ import re
 import tracemalloc
 
 import numpy as np
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from plansift import catalog, catalog_pages  # noqa: F401
@@ -118,3 +119,18 @@ def test_last_plan_of_whole_pages_is_the_merge_alone(spark, sf_dir):
     df = catalog.QUERIES["spatial_manholes"](spark, sf_dir)
     assert df._jdf.queryExecution().executedPlan().toString().count("Exchange ") < 15
     assert df.count() == 487
+
+
+def test_steps_of_whole_pages_are_planned_once(spark, sf_dir, monkeypatch):
+    keys = ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")
+    before, write, seen = [spark.conf.get(k, None) for k in keys], DataFrameWriter.parquet, []
+
+    def noted(self, path, *args, **more):
+        seen.append((path.rsplit("/", 1)[-1][:-33], [spark.conf.get(k) for k in keys]))
+        return write(self, path, *args, **more)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", noted)
+    catalog.QUERIES["spatial_manholes"](spark, sf_dir)
+    assert {"words", "anchors", "text-only", "text-manholes", "page-rows"} <= {name for name, _ in seen}
+    assert all(conf == ["false", "-1"] for _, conf in seen)
+    assert [spark.conf.get(k, None) for k in keys] == before
